@@ -1,8 +1,9 @@
 """The queries of the training-data operators, and their SQL where SQL can express them."""
 
-from . import exact_dedup
+from . import exact_dedup, simhash
 
 QUERIES = {
+    "op3_simhash": simhash.op3_simhash,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 SQL = {
