@@ -1,11 +1,13 @@
 """The queries of the training-data operators, and their SQL where SQL can express them."""
 
-from . import exact_dedup, simhash
+from . import exact_dedup, simhash, substring_dedup
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op3_simhash": simhash.op3_simhash,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 SQL = {
+    "op1_substring_dedup": substring_dedup.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }
