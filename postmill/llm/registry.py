@@ -1,10 +1,12 @@
 """The queries of the training-data operators, and their SQL where SQL can express them."""
 
-from . import exact_dedup, simhash, substring_dedup
+from . import exact_dedup, packing, simhash, substring_dedup, token_files
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op3_simhash": simhash.op3_simhash,
+    "op5_token_files": token_files.op5_token_files,
+    "op6_packing": packing.op6_packing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 SQL = {
