@@ -1,12 +1,14 @@
 """The queries of the training-data operators, and their SQL where SQL can express them."""
 
-from . import exact_dedup, packing, simhash, substring_dedup, token_files
+from . import decontaminate, exact_dedup, packing, simhash, substring_dedup, token_files, url_filter
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_simhash": simhash.op3_simhash,
     "op5_token_files": token_files.op5_token_files,
     "op6_packing": packing.op6_packing,
+    "op8_url_filter": url_filter.op8_url_filter,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 SQL = {
