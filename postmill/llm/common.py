@@ -97,11 +97,15 @@ def fold(data: np.ndarray) -> np.ndarray:
     return _FOLD[data]
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Bytes that part runs of letters: ASCII other than letters (a byte beyond ASCII counts as part of a letter).
+NO_LETTER = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
+
+
+def words(data: np.ndarray, off: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends) of the words in data, and for each row the index of its first word (one more at the end)."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-    solid = ~_SPACE[data]
+    solid = ~space[data]
     before = np.empty_like(solid)
     before[0] = False
     before[1:] = solid[:-1]

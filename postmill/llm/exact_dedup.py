@@ -128,7 +128,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bytes_ = rows.join(small(ids, n, BROADCAST_IDS), F.col("id").eqNullSafe(F.col("sid")), "left_semi").select(ascii_lower(F.coalesce("text", F.lit(""))).alias("norm"))
     checked = bytes_.groupBy("norm").agg(F.count("*").alias("group_size")).select(F.unhex(F.sha2("norm", 256)).alias("sha"), "group_size")
     keepers = suspects.groupBy("sha").agg(F.max(F.struct("id", "place")).alias("keep"))
-    groups = keepers.join(checked, "sha")
+    groups = materialize(keepers.join(checked, "sha"), "exact-groups")
     final = ["id", "keep_id", "group_size", "kept", "sha"]
     grouped = suspects.join(groups, "sha").select("id", F.col("keep.id").alias("keep_id"), "group_size", (F.col("id").eqNullSafe(F.col("keep.id")) & (F.col("place") == F.col("keep.place"))).alias("kept"), "sha")
     alone = each.where(~F.col("suspect")).select("id", F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "sha")

@@ -1,6 +1,6 @@
 """The queries of the training-data operators, and their SQL where SQL can express them."""
 
-from . import decontaminate, exact_dedup, packing, simhash, substring_dedup, token_files, url_filter
+from . import decontaminate, exact_dedup, language, packing, simhash, substring_dedup, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -8,7 +8,9 @@ QUERIES = {
     "op3_simhash": simhash.op3_simhash,
     "op5_token_files": token_files.op5_token_files,
     "op6_packing": packing.op6_packing,
+    "op7_language": language.op7_language,
     "op8_url_filter": url_filter.op8_url_filter,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 SQL = {

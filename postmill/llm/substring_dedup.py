@@ -172,7 +172,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = rows.withColumn("th", F.pmod(F.hash("text"), F.lit(1 << TH_BITS)).cast("int"))
     pieces_ = rows.mapInArrow(_seeds(window, seed, True), "anchor bigint, a bigint, b bigint, id bigint, at bigint")
     anchors = rows.select("text").mapInArrow(_seeds(window, seed, False), "anchor bigint")
-    repeated = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    repeated = materialize(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "repeated-anchors")
     again = materialize(pieces_.join(repeated, "anchor", "left_semi"), "path-pieces")
     paths = materialize(again.groupBy("anchor", "a", "b").agg(F.count("*").alias("n"), F.min(F.struct("id", "at")).alias("one")), "paths")
     whole = again.join(paths.where("n > 1").select("anchor", "a", "b"), ["anchor", "a", "b"], "left_semi").select("id", "at")
