@@ -1,11 +1,12 @@
 """The queries of the training-data operators, and their SQL where SQL can express them."""
 
-from . import decontaminate, exact_dedup, language, packing, simhash, substring_dedup, token_files, toxicity, url_filter
+from . import decontaminate, exact_dedup, language, language_model, packing, simhash, substring_dedup, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_simhash": simhash.op3_simhash,
+    "op4_language_model": language_model.op4_language_model,
     "op5_token_files": token_files.op5_token_files,
     "op6_packing": packing.op6_packing,
     "op7_language": language.op7_language,
