@@ -54,6 +54,16 @@ def small(df: DataFrame, rows: int, bound: int) -> DataFrame:
     return F.broadcast(df) if rows <= bound else df
 
 
+#: Ids of rows to drop that are broadcast, at most (16 bytes each); beyond, they are joined by shuffling.
+DROP_IDS = 2_000_000
+
+
+def without(docs: DataFrame, dropped: DataFrame, id_col: str, differs) -> DataFrame:
+    """docs but for the rows of `dropped` (drop_id and what `differs` looks at): same id, null included, and not differs."""
+    dropped = materialize(dropped.distinct(), "dropped")
+    return docs.join(small(dropped, dropped.count(), DROP_IDS), F.col(id_col).cast("bigint").eqNullSafe(F.col("drop_id")) & ~differs, "left_anti")
+
+
 def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
 

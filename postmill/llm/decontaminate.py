@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_BASE, fold, mix, pieces, table, text_bytes, word_hashes, words
+from .common import WORD_BASE, fold, mix, pieces, table, text_bytes, without, word_hashes, words
 
 #: Positions that each mask looks at (fixed values).
 MASKS = ["1110110111", "110101110101", "11011000110101", "1010110100110011"]
@@ -139,5 +139,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs without the rows whose text overlaps a benchmark item."""
+    found = contaminated(docs, benchmark, id_col, text_col, **how)
+    gone = found.select(F.col("doc_id").alias("drop_id"), F.col("th").alias("drop_hash"))
+    return without(docs, gone, id_col, F.hash(F.col(text_col).cast("string")) != F.col("drop_hash"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("th")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, materialize, pieces, table, text_bytes, words
+from .common import fold, materialize, pieces, table, text_bytes, without, words
 from .components import components
 
 SEED = 42
@@ -70,7 +70,7 @@ def _fingerprint(shingle: int):
         for batch in batches:
             for piece in pieces(batch):
                 prints = fingerprints(*text_bytes(piece.column("text")), shingle)
-                yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(prints.view(np.int64))], ["id", "fp"])
+                yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("th"), pa.array(prints.view(np.int64))], ["id", "th", "fp"])
 
     return run
 
@@ -159,20 +159,29 @@ def fingerprint_links(prints: DataFrame, distance: int = 3) -> DataFrame:
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3) -> DataFrame:
-    """One row per input row: doc_id, fingerprint (16 hex digits), component_id.
+    """One row per input row: doc_id, fingerprint (16 hex digits), component_id, text_hash.
 
     Shingles are `shingle` words of the text with A-Z lower-cased (fewer words: the whole sequence; no
     word, or null: fingerprint zero, linked like any other). component_id is the smallest id that can be
     reached by links of `distance` or fewer bits; null ids don't count for it. Equal fingerprints are
     one node, so copies of any number cost one. An empty table gives an empty result."""
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    each = materialize(rows.mapInArrow(_fingerprint(shingle), "id bigint, fp bigint"), "simhash")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("th", F.hash("text"))
+    each = materialize(rows.mapInArrow(_fingerprint(shingle), "id bigint, th int, fp bigint"), "simhash")
     nodes = materialize(each.groupBy("fp").agg(F.min("id").alias("least")), "simhash-nodes")
     roots = components(fingerprint_links(nodes.select("fp"), distance), "fp", "gp")
     rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.join(least, "root").select("fp", "component_id")
-    return each.join(classes, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return each.join(classes, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("th").alias("text_hash"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs with one row of each group of near copies: that with the smallest id.
+
+    A row without an id goes if its group has an id, and stays otherwise."""
+    report = simhash_dedup(docs, id_col, text_col, **how)
+    gone = report.where("component_id IS NOT NULL AND NOT doc_id <=> component_id").select(F.col("doc_id").alias("drop_id"), F.col("text_hash").alias("drop_hash"))
+    return without(docs, gone, id_col, F.hash(F.col(text_col).cast("string")) != F.col("drop_hash"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -189,5 +189,22 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return scored.select(F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "th")
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows that score 0.5 or more; all columns pass through one scan."""
+    plain = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    lexicon, strong, beta = fit(plain, labels.select(F.col(id_col).cast("bigint").alias("id"), F.col("toxic")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _hashes_of(lexicon)
+        order = np.argsort(hashes)
+        for batch in batches:
+            for piece in pieces(batch, text_col):
+                only = pa.RecordBatch.from_arrays([piece.column(text_col)], ["text"])
+                z = _features(voter_counts(only, hashes[order], order, strong)) @ beta
+                yield piece.filter(pa.array(z < 0))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("th")
