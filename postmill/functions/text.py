@@ -48,8 +48,9 @@ def normal_form(col: Column, exact: bool = True) -> Column:
 
 
 def lines(col: Column) -> Column:
-    """The lines of a text, whatever the line ends; a last empty one doesn't count."""
-    return F.filter(F.split(F.coalesce(col, F.lit("")), r"\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]"), lambda x, i: (x != "") | (i >= 0))
+    """The lines of a text, whatever the line ends; nothing after the last one."""
+    parts = F.split(F.coalesce(col, F.lit("")), "\\r\\n|[\\n\\r\\u000b\\u000c\\u001c-\\u001e\\u0085\\u2028\\u2029]")
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
 def sentences(col: Column) -> Column:
