@@ -45,7 +45,7 @@ def with_salary(df: DataFrame, raw: str, out: str = "salary", target: Column | i
     base, month = F.regexp_extract(c("s"), BASE, 2), F.regexp_extract(c("s"), MONTHLY_BASE, 2)
     label = F.when(base != "", F.regexp_extract(c("s"), BASE, 1)).when(month != "", F.lit("月薪"))
     n = F.coalesce(F.nullif(F.regexp_extract(c("s"), r"(?:[·•x×*]|(?<![\p{L}\p{N}_]))(\d{2})\s*薪", 1), F.lit("")), F.nullif(F.regexp_extract(c("s"), r"(\d{2})\s*薪", 1), F.lit("")))
-    df = df.withColumns({p + "label": label, p + "extra": F.greatest(F.lit(0), n.cast("int") - 12), p + "c": F.trim(F.split(F.when(base != "", base).when(month != "", month).otherwise(c("s")), EXTRA, 2)[0])})
+    df = df.withColumns({p + "label": label, p + "extra": F.when(n.isNotNull(), F.greatest(F.lit(0), n.cast("int") - 12)), p + "c": F.trim(F.split(F.when(base != "", base).when(month != "", month).otherwise(c("s")), EXTRA, 2)[0])})
     monthly = (F.coalesce(c("label"), F.lit("")).contains("月")) | c("c").rlike("/月|每月|" + _WORD % "month(?:ly)?" + r"|per\s*month")
     rejected = c("s").rlike(AFTER_TAX) | c("c").rlike(COMPOSITE) | c("c").rlike(ANNUAL) | (c("label").isNull() & c("c").rlike(BONUS)) | c("c").rlike(FOREIGN)
     structured = rf"^(?:cny|rmb)\s*{_AMOUNT}(?:\s*{_DASH}\s*{_AMOUNT})?\s*(?:/?\s*month(?:ly)?|per\s+month)\s*$"

@@ -10,6 +10,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Texts that mean "unknown" (fixed values).
 UNKNOWN = ["未知", "待核实", "未披露", "unknown", "n/a", "null"]
@@ -32,12 +33,12 @@ def narrow(col: Column) -> Column:
     return F.translate(col, wide, plain)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _fold(text: pd.Series) -> pd.Series:
     return text.map(lambda x: "" if x is None else re.sub(r"\s+", "", unicodedata.normalize("NFKC", x).casefold()))
 
@@ -135,13 +136,13 @@ def visible_text(markup: str | None, skip: tuple[str, ...] = ("script", "style",
     return "\n".join(parser.parts)[:TEXT_LIMIT]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_text(markup: pd.Series) -> pd.Series:
     """Visible text of a page: one line for each text node, without scripts, styles and page furniture."""
     return markup.map(visible_text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def field_text(value: pd.Series) -> pd.Series:
     """Text of a field that may hold entities or markup."""
 

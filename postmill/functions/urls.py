@@ -35,7 +35,7 @@ def canonical_url(url: Column) -> Column:
 
 def admission(url: Column, restricted: list[str] | None = None) -> Column:
     """Why a link may not be fetched, or 'ok': the lexical part of admission, before any name is resolved."""
-    h, port = F.rtrim(F.lit("."), host(url)), F.regexp_extract(F.coalesce(_part(url, "AUTHORITY"), F.lit("")), r":(\d+)$", 1)
+    h, port = F.rtrim(host(url), F.lit(".")), F.regexp_extract(F.coalesce(_part(url, "AUTHORITY"), F.lit("")), r":(\d+)$", 1)
     barred = F.lit(False)
     for domain in restricted or []:
         barred = barred | (h == domain) | h.endswith(f".{domain}")

@@ -56,7 +56,11 @@ def recommendation(pay: Column, closed: Column, learned_only: Column, has_projec
 
 def role_sentences(text: Column, roles: dict[str, list[str]]) -> Column:
     """For each role that a sentence mentions: (role, first such sentence), in the roles' order."""
-    each = [F.try_element_at(F.filter(sentences(text), lambda s, terms=terms: mentions_any(s, terms)), F.lit(1)) for terms in roles.values()]
+
+    def test(terms: list[str]):
+        return lambda s: mentions_any(s, terms)
+
+    each = [F.try_element_at(F.filter(sentences(text), test(terms)), F.lit(1)) for terms in roles.values()]
     return F.filter(F.array(*[F.struct(F.lit(role).alias("role"), quote.alias("quote")) for role, quote in zip(roles, each, strict=True)]), lambda x: x["quote"].isNotNull())
 
 

@@ -36,9 +36,11 @@ def relevant_first(items: Column, is_relevant) -> Column:
 
 def blocks(parts: list[tuple[str, Column]]) -> Column:
     """An ordered array of (kind, text), blank texts dropped. A part is one text or an array of texts."""
-    each = []
-    for kind, col in parts:
-        each.append(F.transform(col, lambda x, kind=kind: F.struct(F.lit(kind).alias("kind"), x.alias("text"))))
+
+    def of(kind: str):
+        return lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("text"))
+
+    each = [F.transform(col, of(kind)) for kind, col in parts]
     return F.filter(F.concat(*each), lambda b: F.trim(F.coalesce(b["text"], F.lit(""))) != "")
 
 

@@ -10,11 +10,12 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 FILE_LIMIT, TEXT_LIMIT = 12 << 20, 500_000
 #: Limits of an archive: entries, all bytes, bytes of one, and ratio beyond 1 MB (fixed values).
 ENTRIES, INFLATED, ONE_ENTRY, RATIO = 2000, 48 << 20, 16 << 20, 100
-RESULT = "text string, warnings array<string>, method string"
+RESULT = StructType([StructField("text", StringType()), StructField("warnings", ArrayType(StringType())), StructField("method", StringType())])
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
