@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, materialize, pieces, table, text_bytes, without, words
+from .common import DROP_IDS, WORD_BASE, Rolling, fold, materialize, mix, pieces, small, table, text_bytes, without, word_hashes, words
 from .components import components
 
 SEED = 42
@@ -175,11 +175,114 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return each.join(classes, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("th").alias("text_hash"))
 
 
+#: Min-hash bands and their rows: texts of Jaccard similarity s share a band with probability 1 - (1 - s**5)**24.
+BANDS, BAND_ROWS = 24, 5
+#: A band's bucket of up to this many texts is compared pair by pair; a larger one by stars and rounds.
+BAND_BUCKET = 32
+_MULTIPLIERS = mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def _shingles(piece: pa.RecordBatch, shingle: int):
+    """(hashes of the word shingles, where each text's begin, a hash of each text's words)."""
+    data, off = text_bytes(piece.column("text"))
+    data = fold(data)
+    starts, ends, at = words(data, off)
+    roll = Rolling(word_hashes(data, starts, ends), WORD_BASE)
+    n = np.diff(at)
+    count = np.where(n >= shingle, n - shingle + 1, np.minimum(n, 1))
+    cuts = np.concatenate([[0], np.cumsum(count)])
+    first = np.repeat(at[:-1] - cuts[:-1], count) + np.arange(cuts[-1])
+    return roll.of(first, first + np.repeat(np.minimum(n, shingle), count)), cuts, roll.of(at[:-1], at[1:])
+
+
+def _sign(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch):
+                hashes, cuts, node = _shingles(piece, shingle)
+                full = np.flatnonzero(np.diff(cuts))
+                keys = np.zeros((len(full), BANDS), np.uint64)
+                for band in range(BANDS if len(full) else 0):
+                    for row in range(BAND_ROWS):
+                        low = np.minimum.reduceat(hashes * _MULTIPLIERS[band * BAND_ROWS + row], cuts[:-1][full])
+                        keys[:, band] = mix(keys[:, band] + low)
+                bands: list = [[] for _ in node]
+                for r, k in zip(full.tolist(), keys.view(np.int64).tolist(), strict=True):
+                    bands[r] = k
+                prints = majority_bits(hashes, cuts)
+                cols = [piece.column("id"), piece.column("th"), pa.array(node.view(np.int64)), pa.array(prints.view(np.int64)), pa.array(bands, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, ["id", "th", "node", "fp", "bands"])
+
+    return run
+
+
+def _sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch):
+                hashes, cuts, _ = _shingles(piece, shingle)
+                each = [np.unique(hashes[a:b]).view(np.int64).tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([piece.column("node"), pa.array(each, pa.list_(pa.int64()))], ["node", "s"])
+
+    return run
+
+
+def _verified(rows: DataFrame, texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets have at least that Jaccard similarity; only their texts are moved."""
+    pairs = materialize(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(texts, "node").select("node", F.col("one.id").alias("nid"), F.col("one.th").alias("nth"))
+    need = materialize(need, "candidate-texts")
+    held = rows.join(small(need, need.count(), DROP_IDS), F.col("id").eqNullSafe(F.col("nid")) & (F.col("th") == F.col("nth"))).select("node", "text")
+    sets = materialize(held.mapInArrow(_sets(shingle), "node bigint, s array<bigint>").dropDuplicates(["node"]), "shingle-sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return materialize(both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "near-links")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row per input row: doc_id, text_hash, component_id, in groups of texts linked by Jaccard similarity.
+
+    64 SimHash bits can't tell 0.8 from less: such pairs differ in up to 19 bits, more than any pigeonring
+    key bears. So fingerprints within three bits are candidates, and texts that share a band of min-hashes
+    of the same shingles too; the shingle sets of each candidate pair are then compared. Texts with the
+    same words are one node. In a large bucket each text is compared with the smallest; texts that are not
+    in that one's group are then compared with all of the bucket outside their own group, so that no
+    link between groups is lost and a group of near copies isn't expanded into its pairs. A text without
+    words is linked to nothing else. component_id is the smallest id of the group (null ids don't count)."""
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("th", F.hash("text"))
+    each = materialize(rows.mapInArrow(_sign(shingle), "id bigint, th int, node bigint, fp bigint, bands array<bigint>"), "signatures")
+    texts = materialize(each.groupBy("node").agg(F.min(F.struct("id", "th")).alias("one"), F.min("id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "signature-nodes")
+    some = texts.where(F.size("bands") > 0)
+    centre = materialize(some.groupBy("fp").agg(F.min("node").alias("node")), "fingerprint-nodes")
+    stars = some.join(centre.withColumnRenamed("node", "c"), "fp").select(F.col("node").alias("a"), F.col("c").alias("b"))
+    links = fingerprint_links(centre.select("fp"))
+    across = links.join(centre.select("fp", F.col("node").alias("a")), "fp").join(centre.select(F.col("fp").alias("gp"), F.col("node").alias("b")), "gp").select("a", "b")
+    keyed = some.select("node", F.posexplode("bands").alias("band", "key"))
+    sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("c")).where("n > 1")
+    shared = materialize(keyed.join(materialize(sizes, "band-sizes"), ["band", "key"]), "band-buckets")
+    few, many = shared.where(f"n <= {BAND_BUCKET}"), shared.where(f"n > {BAND_BUCKET}")
+    pairs = few.select("band", "key", F.col("node").alias("a")).join(few.select("band", "key", F.col("node").alias("b")), ["band", "key"]).where("a < b").select("a", "b")
+    good = _verified(rows, texts, stars.union(across).union(pairs).union(many.select(F.col("node").alias("a"), F.col("c").alias("b"))), shingle, similarity)
+    roots = components(good, "a", "b")
+    if not many.isEmpty():
+        placed = many.join(roots, "node", "left").select("band", "key", "node", "c", F.coalesce("root", "node").alias("root"))
+        homes = placed.where("node = c").select("band", "key", F.col("root").alias("home"))
+        placed = materialize(placed.join(homes, ["band", "key"]), "placed")
+        apart = placed.where("root <> home").select("band", "key", F.col("node").alias("a"), F.col("root").alias("ra"))
+        more = apart.join(placed.select("band", "key", F.col("node").alias("b"), "root"), ["band", "key"]).where("ra <> root").select("a", "b")
+        good = good.union(_verified(rows, texts, more, shingle, similarity))
+        roots = components(good, "a", "b")
+    rooted = materialize(texts.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "rooted")
+    least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least-ids")
+    classes = rooted.join(least, "root").select("node", "component_id")
+    return each.select("id", "th", "node").join(materialize(classes, "classes"), "node").select(F.col("id").alias("doc_id"), F.col("th").alias("text_hash"), "component_id")
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs with one row of each group of near copies: that with the smallest id.
+    """docs with one row of each group of similar texts: that with the smallest id.
 
     A row without an id goes if its group has an id, and stays otherwise."""
-    report = simhash_dedup(docs, id_col, text_col, **how)
+    report = similar_groups(docs, id_col, text_col, **how)
     gone = report.where("component_id IS NOT NULL AND NOT doc_id <=> component_id").select(F.col("doc_id").alias("drop_id"), F.col("text_hash").alias("drop_hash"))
     return without(docs, gone, id_col, F.hash(F.col(text_col).cast("string")) != F.col("drop_hash"))
 
