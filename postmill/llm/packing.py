@@ -65,6 +65,7 @@ def _cut(path: str, capacity: int):
                     fulls += full
                 kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in _CUT.split(", ")])
+        encoder.release()
 
     return run
 

@@ -8,8 +8,8 @@ from array import array
 
 import numpy as np
 
-#: Parts kept by one Python worker; when as many are held, the cache starts anew.
-CACHE_PARTS = 1_000_000
+#: Parts kept during a task; when as many are held, the cache starts anew.
+CACHE_PARTS = 600_000
 END_ID = 0
 
 #: Texts that aren't plain (see Encoder._cut) are cut here, if all their white space is ASCII.
@@ -43,6 +43,10 @@ class Encoder:
         self.parts: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {"": b""}
 
+    def release(self) -> None:
+        """Forget the parts: a worker outlives its tasks, and other stages need the memory."""
+        self.parts, self.stems = {}, {"": b""}
+
     @classmethod
     def at(cls, path: str) -> Encoder:
         """One for each worker and file: workers are used for many tasks."""
