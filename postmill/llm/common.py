@@ -33,13 +33,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors.
 
     The table goes when the JVM ends. Shuffle files of the finished steps are released."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/postmill/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     with suppress(Exception):  # only tidying

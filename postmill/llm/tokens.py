@@ -9,14 +9,12 @@ from array import array
 import numpy as np
 
 #: Parts kept during a task; when as many are held, the cache starts anew.
-CACHE_PARTS = 600_000
+CACHE_PARTS = 800_000
 END_ID = 0
 
 #: Texts that aren't plain (see Encoder._cut) are cut here, if all their white space is ASCII.
 _PART = re.compile("[ \t\r\n\x0b\x0c]*[^ \t\r\n\x0b\x0c]+|[ \t\r\n\x0b\x0c]+")
 _WIDE = re.compile("[\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
-#: A word of Latin letters, with the space before it, and what follows; the byte-level pattern cuts there too.
-_STEM = re.compile("(\n?)( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)(.*)", re.S)
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -41,11 +39,10 @@ class Encoder:
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.code = "H" if self.kind is np.uint16 else "I"
         self.parts: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {"": b""}
 
     def release(self) -> None:
         """Forget the parts: a worker outlives its tasks, and other stages need the memory."""
-        self.parts, self.stems = {}, {"": b""}
+        self.parts = {}
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -54,24 +51,14 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _ids(self, parts: list[str]) -> dict[str, bytes]:
-        out = {}
-        for at in range(0, len(parts), 8192):
-            some = parts[at : at + 8192]
-            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            out.update((p, array(self.code, x.ids).tobytes()) for p, x in zip(some, found, strict=True))
-        return out
-
     def _learn(self, parts: set[str]) -> None:
-        new = parts.difference(self.parts)
+        new = list(parts.difference(self.parts))
         if len(self.parts) + len(new) > CACHE_PARTS:
-            self.parts, new = {}, parts
-        made = {p: m.groups() if (m := _STEM.fullmatch(p)) else (p,) for p in new}
-        if len(self.stems) > CACHE_PARTS:
-            self.stems = {"": b""}
-        self.stems |= self._ids(list({s for m in made.values() for s in m}.difference(self.stems)))
-        get = self.stems.__getitem__
-        self.parts.update((p, b"".join(map(get, m))) for p, m in made.items())
+            self.parts, new = {}, list(parts)
+        for at in range(0, len(new), 8192):
+            some = new[at : at + 8192]
+            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            self.parts.update(zip(some, [array(self.code, x.ids).tobytes() for x in found], strict=True))
 
     @staticmethod
     def _cut(text: str) -> list[str] | None:
