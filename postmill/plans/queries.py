@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, money, text, urls
-from ..operators import convo, matching, merge, plan, ranking, tables, tasks, windows
+from ..operators import convo, matching, merge, parsing, plan, ranking, tables, tasks, windows
 from ..sources import jsonld, robots
 from ..streaming import streams
 
@@ -502,3 +502,16 @@ def q48_ordered_ingest(spark, d):
     blank = {f: F.lit("") for f in matching.FACTS} | {"title": F.col("source"), "city": F.col("lang")}
     rows = doc.select(F.col("doc_id").alias("seq"), F.array(F.concat(F.lit("https://x.example/"), F.when(F.col("doc_id") % 10 == 0, F.floor(F.col("doc_id") / 20)).cast("string"))).alias("urls"), F.lit("").alias("identity"), F.sha2(text.normal_form(F.col("text"), exact=False), 256).alias("content_hash"), F.lit("source_refresh").alias("mode"), F.array().cast("array<string>").alias("edited"), F.substring("text", 1, 2000).alias("raw_text"), F.lit("未知").alias("status_validity"), *[c.alias(n) for n, c in blank.items()])
     return merge.ingest(rows).select("entity", "seqs", "urls", F.size("conflicts").alias("n_conflicts"), "title", "city")
+
+
+@query("""
+SELECT o_orderkey, 'C' || o_custkey AS company, o_orderpriority AS title, 'duty ' || o_orderkey || chr(10) || 'more' AS responsibilities, 'need ' || o_custkey AS requirements,
+  CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '' END AS published_at, CASE WHEN o_orderkey % 2 = 0 THEN 4 ELSE 5 END::BIGINT AS n_uncertain FROM orders
+""")
+def q49_parse_postings(spark, d):
+    o = _t(spark, d, "orders")
+    key, who = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    day = F.date_format("o_orderdate", "yyyy年M月d日")
+    posting = F.concat(F.lit("公司名称： C"), who, F.lit("\n岗位:"), F.col("o_orderpriority"), F.lit("\n职责：duty "), key, F.lit("\nmore\n\nMORE\n任职要求\nneed "), who, F.lit("\n福利：none\nafter\n"), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("发布时间："), day)).otherwise("发布时间：1999-99-99"))
+    parsed = parsing.parse_postings(o.select("o_orderkey", posting.alias("t")), "o_orderkey", "t")
+    return parsed.select("o_orderkey", "company", "title", "responsibilities", "requirements", "published_at", F.size("uncertain_fields").cast("bigint").alias("n_uncertain"))
