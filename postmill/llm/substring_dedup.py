@@ -176,11 +176,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     again = materialize(pieces_.join(repeated, "anchor", "left_semi"), "path-pieces")
     paths = materialize(again.groupBy("anchor", "a", "b").agg(F.count("*").alias("n"), F.min(F.struct("id", "at")).alias("one")), "paths")
     whole = again.join(paths.where("n > 1").select("anchor", "a", "b"), ["anchor", "a", "b"], "left_semi").select("id", "at")
-    branching = paths.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor")
+    branching = materialize(paths.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor"), "branching")
     branches = paths.join(branching, "anchor", "left_semi").select("one.id", "one.at")
     single = _same(rows, _by_text(branches), "inner").select("id", "th", "text", "ats").mapInArrow(_windows(window), "a bigint, b bigint, id bigint, at bigint")
     single = materialize(single, "branch-windows")
-    twice = single.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
+    twice = materialize(single.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b"), "repeated-windows")
     parts = materialize(whole.union(single.join(twice, ["a", "b"], "left_semi").select("id", "at")), "repeats")
     final = _same(rows, _by_text(parts), "left").select("id", "text", F.coalesce("ats", F.array().cast("array<bigint>")).alias("ats"))
     return final.mapInArrow(_remove(window), _RESULT)
