@@ -82,8 +82,8 @@ def test_json_ld(spark):
 
 def test_feeds(spark):
     board = json.dumps({"jobs": [{"title": "T", "location": {"name": "SZ"}, "content": "&lt;p&gt;Body&lt;/p&gt;", "updated_at": "2026", "absolute_url": "javascript:x", "metadata": [{"name": "Salary", "value": "40K"}]}]})
-    lever = json.dumps([{"text": "L", "descriptionPlain": "d", "categories": {"location": "BJ"}, "salaryRange": {"currency": "USD", "interval": "per-year", "min": 1, "max": 2}, "hostedUrl": "https://h/x"}])
-    p = spark.createDataFrame([("s1", None, 200, board), ("s2", None, 200, lever), ("bad/1", None, 200, "[]"), ("s3", None, 404, "")], "source string, company string, status int, payload string")
+    paged = json.dumps([{"text": "L", "descriptionPlain": "d", "categories": {"location": "BJ"}, "salaryRange": {"currency": "USD", "interval": "per-year", "min": 1, "max": 2}, "hostedUrl": "https://h/x"}])
+    p = spark.createDataFrame([("s1", None, 200, board), ("s2", None, 200, paged), ("bad/1", None, 200, "[]"), ("s3", None, 404, "")], "source string, company string, status int, payload string")
     b = feeds.read_source("board", p.where("source = 's1'")).first()
     assert (b.company, b.title, b.salary_raw, b.published_at, b.responsibilities, b.source_url, b.raw_text, b.status_validity) == ("未知", "T", "40K", None, "未知", "", "Body", "有效")
     v = feeds.read_source("postings", p.where("source = 's2'")).first()
