@@ -54,8 +54,8 @@ def small(df: DataFrame, rows: int, bound: int) -> DataFrame:
     return F.broadcast(df) if rows <= bound else df
 
 
-#: Ids of rows to drop that are broadcast, at most (16 bytes each); beyond, they are joined by shuffling.
-DROP_IDS = 2_000_000
+#: Ids of rows to drop that are broadcast, at most (under 100 bytes each); beyond, they are joined by shuffling.
+DROP_IDS = 1_000_000
 
 
 def without(docs: DataFrame, dropped: DataFrame, id_col: str, differs) -> DataFrame:

@@ -23,8 +23,8 @@ from .common import LOWER, UPPER, ascii_lower, materialize, small, table, withou
 
 #: Bits of a fingerprint; a clash only makes a suspect, which byte verification clears.
 BITS = 52
-#: Suspect ids up to this many are broadcast (8 bytes each); beyond, they are joined by shuffling.
-BROADCAST_IDS = 4_000_000
+#: Suspect ids up to this many are broadcast (under 100 bytes each); beyond, they are joined by shuffling.
+BROADCAST_IDS = 1_000_000
 
 _TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 

@@ -101,10 +101,11 @@ def _predict(held):
             for piece in pieces(batch):
                 shares, n = found.shares(piece.column("text"))
                 texts = piece.column("text")
-                none = n == 0
-                for r in np.flatnonzero(n > 0):
-                    if n[r] < 40 and not any(c.isalpha() for c in texts[int(r)].as_py()):
-                        none[r] = True
+                data, off = text_bytes(texts)
+                plain = np.diff(np.concatenate([[0], np.cumsum(~NO_LETTER[data] & (data < 128))])[off]) > 0
+                none = ~plain & (n == 0)
+                for r in np.flatnonzero(~plain & (n > 0)):  # only signs beyond ASCII: are any of them letters?
+                    none[r] = not any(c.isalpha() for c in texts[int(r)].as_py())
                 best = shares.argmax(axis=1) if len(found.langs) else np.zeros(len(n), np.int64)
                 total = shares.sum(axis=1)
                 score = np.where(total > 0, shares.max(axis=1, initial=0) / np.maximum(total, 1e-12), 0.0)
