@@ -21,7 +21,7 @@ STAGES = [
     ("exact dedup", lambda spark, docs, sf_dir: drop_duplicates(docs)),
     ("near dedup", lambda spark, docs, sf_dir: drop_near_duplicates(docs)),
     ("decontamination", lambda spark, docs, sf_dir: drop_contaminated(docs, table(spark, sf_dir, "benchmark"))),
-    ("packing", lambda spark, docs, sf_dir: pack_documents(docs)),
+    ("packing", lambda spark, docs, sf_dir: pack_documents(docs, release=True)),
 ]
 
 #: No stage after the fitted classifier can be told by SQL; tests compare with a brute-force version.

@@ -50,7 +50,7 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int) -> tuple[list[
 _CUT = "chunk int, id bigint, n bigint, rest int, rank bigint, full bigint, full_before bigint, crcs array<bigint>"
 
 
-def _cut(path: str, capacity: int):
+def _cut(path: str, capacity: int, release: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, chunk = Encoder.at(path), TaskContext.get().partitionId()
         seen, fulls = np.zeros(capacity, np.int64), 0
@@ -65,12 +65,13 @@ def _cut(path: str, capacity: int):
                     fulls += full
                 kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in _CUT.split(", ")])
-        encoder.release()
+        if release:
+            encoder.release()
 
     return run
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, tokenizer: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, tokenizer: str | None = None, release: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A text (null: empty) is its token ids and one end id, so each document has a piece. Documents of
@@ -79,7 +80,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     empty result; other columns are ignored."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    cut = materialize(rows.mapInArrow(_cut(tokenizer or tokenizer_path(), capacity), _CUT), "pieces")
+    cut = materialize(rows.mapInArrow(_cut(tokenizer or tokenizer_path(), capacity, release), _CUT), "pieces")
     counts = cut.where("rest > 0").groupBy("rest", "chunk").agg(F.count("*").alias("c")).union(cut.groupBy("chunk").agg(F.sum("full").alias("c")).select(F.lit(capacity), "chunk", "c"))
     counts = materialize(counts.toDF("length", "chunk", "c"), "piece-counts")
     histogram = {r.length: r.n for r in counts.where(F.col("length") < capacity).groupBy("length").agg(F.sum("c").alias("n")).collect()}  # below capacity rows
