@@ -8,6 +8,7 @@ those of every text position; hits are verified on their diagonal, word by word.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -72,15 +73,22 @@ class Index:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def best_overlap(item: np.ndarray, doc: np.ndarray, shift: int, similarity: float) -> tuple[int, int, int]:
-    """On one diagonal, the stretch with most agreement: (start in doc, words, agreeing words)."""
+def best_overlap(item: np.ndarray, doc: np.ndarray, shift: int, similarity: float, need: int = 0) -> tuple[int, int, int]:
+    """On one diagonal, of the stretches of `need` words at least, the one with most agreement: (start in doc,
+    words, agreeing words); no words if none reaches the similarity. Scores are whole numbers, so 0.8 is exact."""
     a, b = max(0, -shift), min(len(item), len(doc) - shift)
+    if b - a < need:
+        return a + shift, 0, 0
     same = item[a:b] == doc[a + shift : b + shift]
-    score = np.concatenate([[0.0], np.cumsum(np.where(same, 1 - similarity, -similarity))])
-    low = np.minimum.accumulate(score)
-    end = int(np.argmax(score - low))
+    part = Fraction(str(similarity))
+    score = np.concatenate([[0], np.cumsum(np.where(same, part.denominator - part.numerator, -part.numerator))])
+    low = np.minimum.accumulate(score[: len(score) - need])  # the least prefix that is `need` words back or more
+    gain = score[need:] - low
+    end = int(np.argmax(gain))
+    if gain[end] < 0:
+        return a + shift, 0, 0
     start = int(np.argmin(score[: end + 1]))
-    return a + shift + start, end - start, int(same[start:end].sum())
+    return a + shift + start, end + need - start, int(same[start : end + need].sum())
 
 
 _FOUND = "doc_id bigint, th int, item_id bigint, start bigint, n_words bigint, n_same bigint"
@@ -101,8 +109,8 @@ def _search(index, item_ids: list[int], least: int, similarity: float):
                 best: dict[tuple[int, int], tuple[int, int, int]] = {}
                 for r, i, shift in (x.tolist() for x in tried):
                     need = min(least, len(held.items[i]))
-                    found = best_overlap(held.items[i], hashes[at[r] : at[r + 1]], shift, similarity)
-                    if found[1] >= need and found[2] >= similarity * found[1] and found[2] > best.get((r, i), (0, 0, 0))[2]:
+                    found = best_overlap(held.items[i], hashes[at[r] : at[r + 1]], shift, similarity, need)
+                    if found[2] > best.get((r, i), (0, 0, 0))[2]:
                         best[r, i] = found
                 if best:
                     rows = pa.array([r for r, _ in best])

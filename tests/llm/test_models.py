@@ -73,6 +73,36 @@ def test_best_overlap_against_brute_force():
         assert abs(best - (0.2 * same - 0.8 * (n - same))) < 1e-9
 
 
+def test_best_overlap_of_enough_words_against_brute_force():
+    item = np.arange(13).astype(np.uint64)
+    doc = np.where(np.arange(13) == 2, 99, np.arange(13)).astype(np.uint64)
+    assert decontaminate.best_overlap(item, doc, 0, 0.8, 13) == (0, 13, 12)  # a change near the border isn't trimmed off
+    rng = np.random.default_rng(5)
+    reached = 0
+    for n in [n for n in range(5, 21) for _ in range(60)]:
+        item = rng.integers(0, 1 << 60, n).astype(np.uint64)
+        front, cut = int(rng.integers(0, 4)), int(rng.integers(0, 3))
+        changed = np.where(rng.random(n) < rng.choice([0.1, 0.2, 0.3]), np.uint64(1), item)
+        doc = np.concatenate([np.zeros(front, np.uint64), changed, np.zeros(3, np.uint64)])[: front + n + 3 - 2 * cut]
+        need, m = min(13, n), min(n, len(doc) - front)
+        same = [bool(item[j] == doc[j + front]) for j in range(m)]
+        every = [(sum(same[a:b]), b - a) for a in range(m) for b in range(a + need, m + 1)]
+        good = [(s - 4 * (k - s), s, k) for s, k in every if 5 * s >= 4 * k]
+        start, words, agree = decontaminate.best_overlap(item, doc, front, 0.8, need)
+        assert (words > 0) == bool(good)
+        if good:
+            reached += 1
+            assert words >= need and agree == sum(same[start - front : start - front + words]) and agree - 4 * (words - agree) == max(good)[0]
+    assert 200 < reached < 900
+
+
+def test_decontamination_finds_a_change_near_the_border(spark, docs):
+    item = [f"w{i}" for i in range(13)]
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")
+    got = decontaminate.contaminated(docs([(1, "a b " + " ".join([*item[:2], "x", *item[3:]]) + " c")]), bench).collect()
+    assert [(r.doc_id, r.item_id, r.start, r.n_words, r.n_same) for r in got] == [(1, 7, 2, 13, 12)]
+
+
 # language model
 
 
