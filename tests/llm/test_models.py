@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 import re
@@ -103,6 +104,26 @@ def test_decontamination_finds_a_change_near_the_border(spark, docs):
     assert [(r.doc_id, r.item_id, r.start, r.n_words, r.n_same) for r in got] == [(1, 7, 2, 13, 12)]
 
 
+@pytest.mark.parametrize("n", range(1, 26))
+def test_every_overlap_has_a_seed_hit(n):
+    # every way to change a fifth of n words; what is longer than 25 words holds 13 words or more that agree as well
+    item = np.random.default_rng(n).integers(1, 1 << 60, n).astype(np.uint64)
+    ways = np.array(list(itertools.combinations(range(n), n // 5)), int)
+    texts = np.zeros((len(ways), n + 1), np.uint64)
+    texts[:, :n] = item
+    np.put_along_axis(texts, ways, np.uint64(0), axis=1)
+    place, number, inside = decontaminate.Index([item, item[:0]]).hits(texts.ravel())
+    starts = place - inside
+    assert set((starts[starts % (n + 1) == 0] // (n + 1)).tolist()) == set(range(len(ways))) and not number.any()
+
+
+def test_decontamination_finds_short_items_with_a_change(spark, docs):
+    bench = spark.createDataFrame([(n, " ".join(f"i{n}w{j}" for j in range(n))) for n in range(3, 13)], "item_id bigint, text string")
+    rows = [(100 * n + j, " ".join(["a", *("x" if k == j else f"i{n}w{k}" for k in range(n)), "b"])) for n in range(3, 13) for j in range(n + 1)]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs(rows), bench).collect()}
+    assert got == {(i, i // 100) for i, _ in rows if i // 100 > 4 or i % 100 == i // 100}
+
+
 # language model
 
 
