@@ -4,8 +4,9 @@ Word counts are taken over all training texts and stay distributed. The most fre
 network's own: each has a row of the input table, a class, and an output vector. Every other word, seen or
 not, belongs to one of TAIL classes by its last letters, within which it has its add-one share of the
 counts. So log P(word) = log P(class | state) + log P(word | class, state) for own words, and the second
-part is a count for the rest. The network is fitted by truncated backpropagation on a sample of training
-tokens of a stated size; scoring carries the state from the first word of a text to its end.
+part is a count for the rest. The network is fitted on all training texts: in each pass every task fits a
+copy to its own texts by truncated backpropagation, and the copies are averaged by their tokens. Scoring
+carries the state from the first word of a text to its end.
 
 Counts of the HEAD_WORDS most frequent words (a fixed bound) are broadcast; the other words of each text
 are joined with the count table by shuffling.
@@ -13,6 +14,8 @@ are joined with the count table by shuffling.
 
 from __future__ import annotations
 
+import copy
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +28,11 @@ from .common import crc_mod, fold, materialize, mix, pieces, table, text_bytes,
 
 #: Words whose counts are broadcast; words of the network; its classes of own words and of others; its state.
 HEAD_WORDS, OWN_WORDS, CLASSES, TAIL, HIDDEN = 1 << 19, 4096, 64, 64, 32
-#: Tokens of the training texts that the network is fitted on (about as many: texts are taken whole, by a
-#: threshold on a hash of the id), passes over them, and lanes and steps of a window of the fit.
-FIT_TOKENS, PASSES, LANES, STEPS = 1_000_000, 2, 128, 32
+#: Passes over all training texts, and lanes and steps of a window of the fit.
+PASSES, LANES, STEPS = 2, 128, 32
+#: Tokens that a task of the fit has at least where there are so many (a copy of the network is about as large as
+#: half of them), tokens that it holds at a time, and numbers of a row in which a copy is passed on.
+TASK_TOKENS, BLOCK_TOKENS, CHUNK = 2_000_000, 1 << 20, 1 << 13
 #: Bytes of text that are scored side by side.
 SCORE_BYTES = 24 << 20
 END_KEY = np.uint64(0x5E4D3C2B1A090800)
@@ -71,6 +76,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+class Moments:
+    """The running means of the gradients and their squares, and the windows that they were taken over."""
+
+    def __init__(self, model: Model):
+        self.t = 0
+        self.m, self.v = ({k: np.zeros_like(x) for k, x in model.p.items()} for _ in range(2))
+
+
 class Model:
     """The network and the counts that it needs; ids below len(own) are own words, then come tail classes."""
 
@@ -154,16 +167,18 @@ class Model:
         return (out, back) if grads is not None else out
 
     def fit(self, ids: np.ndarray, end: int) -> None:
-        """Truncated backpropagation: each lane reads its part of the tokens, and keeps its state between windows."""
-        lanes = max(1, min(LANES, len(ids) // (2 * STEPS)))
-        per = len(ids) // lanes
-        if per < 2:
-            return
-        lane = ids[: lanes * per].reshape(lanes, per)
-        m, v, t, s = {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}, 0, HIDDEN
+        state = Moments(self)
         for turn in range(PASSES):
-            h = np.zeros((lanes, s), np.float32)
-            for at in range(0, per, STEPS):
+            self.fit_block(ids, end, state, (turn / PASSES, (turn + 1) / PASSES))
+
+    def fit_block(self, ids: np.ndarray, end: int, state: Moments, progress: tuple[float, float]) -> None:
+        """Truncated backpropagation: each lane reads its part of the tokens, and keeps its state between windows;
+        what the lanes leave over is read by one more."""
+        lanes = max(1, min(LANES, len(ids) // (2 * STEPS)))
+        whole, s = len(ids) // lanes * lanes, HIDDEN
+        for lane in (ids[:whole].reshape(lanes, -1), ids[whole:].reshape(1, -1)):
+            h = np.zeros((len(lane), s), np.float32)
+            for at in range(0, lane.shape[1], STEPS):
                 part = lane[:, at : at + STEPS]
                 states, kept = [], []
                 for j in range(part.shape[1]):
@@ -174,8 +189,8 @@ class Model:
                     h = h2 * go
                 grads: dict[str, np.ndarray] = {}
                 _, back = self.outputs(np.concatenate(states), part.T.ravel(), grads)
-                back = back.reshape(len(states), lanes, s)
-                dx, du, dh = np.zeros((len(states), lanes, 3 * s), np.float32), np.zeros_like(self.p["u"]), np.zeros_like(h)
+                back = back.reshape(len(states), len(lane), s)
+                dx, du, dh = np.zeros((len(states), len(lane), 3 * s), np.float32), np.zeros_like(self.p["u"]), np.zeros_like(h)
                 for j in range(len(states) - 1, -1, -1):
                     h0, z, r, n, a, go = kept[j]
                     d = dh * go
@@ -186,17 +201,19 @@ class Model:
                     du += h0.T @ inner
                     dh = d * z + inner @ self.p["u"].T + back[j]
                 grads["u"], grads["b"] = du, dx.sum(axis=(0, 1))
-                grads["x"] = np.zeros_like(self.p["x"])
                 order = np.argsort(flat := part.T.ravel(), kind="stable")
                 first = np.flatnonzero(np.diff(flat[order], prepend=-1))
-                grads["x"][flat[order][first]] = np.add.reduceat(dx.reshape(-1, 3 * s)[order], first)
-                t += 1
-                rate = 0.005 * (1 - 0.9 * (turn * per + at) / (PASSES * per))
+                seen = flat[order][first]
+                grads["x"] = np.add.reduceat(dx.reshape(-1, 3 * s)[order], first)
+                state.t += 1
+                rate = 0.005 * (1 - 0.9 * (progress[0] + (progress[1] - progress[0]) * at / lane.shape[1]))
                 for k, g in grads.items():
+                    rows = seen if k == "x" else slice(None)  # a word's row moves only in windows with the word
                     g = np.clip(g / lanes, -1, 1)
-                    m[k] += 0.1 * (g - m[k])
-                    v[k] += 0.01 * (g * g - v[k])
-                    self.p[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-6)
+                    m = state.m[k][rows] + 0.1 * (g - state.m[k][rows])
+                    v = state.v[k][rows] + 0.01 * (g * g - state.v[k][rows])
+                    state.m[k][rows], state.v[k][rows] = m, v
+                    self.p[k][rows] -= rate / (1 - 0.9**state.t) * m / (np.sqrt(v / (1 - 0.99**state.t)) + 1e-6)
 
     def score(self, ids: np.ndarray, cuts: np.ndarray) -> np.ndarray:
         """Natural log probability of each token row cuts[i]:cuts[i+1], its state carried from start to end."""
@@ -223,17 +240,67 @@ class Model:
         return out
 
 
-def _sample(held):
+_COPY = "chunk int, task int, n bigint, part binary"
+
+
+def _fit(held, progress: float, expected: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = copy.copy(held.value)
+        model.p = {k: v.copy() for k, v in model.p.items()}
+        end = int(model.look_up(np.array([END_KEY]))[0][0])
+        state, waiting, size, n = Moments(model), [], 0, 0
+
+        def block(at: int) -> None:
+            nonlocal waiting, size, n
+            ids = np.concatenate(waiting)
+            span = tuple(progress + min(1.0, x / expected) / PASSES for x in (n, n + at))
+            model.fit_block(ids[:at], end, state, span)
+            waiting, size, n = [ids[at:]], size - at, n + at
+
         for batch in batches:
             for piece in pieces(batch):
-                keys, cuts = token_keys(piece.column("text"))
-                ids = held.value.look_up(keys)[0].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([piece.column("h"), pa.array([ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["h", "ids"])
+                waiting.append(model.look_up(token_keys(piece.column("text"))[0])[0].astype(np.int32))
+                size += len(waiting[-1])
+                while size >= BLOCK_TOKENS:
+                    block(BLOCK_TOKENS)
+        if size:
+            block(size)
+        if n:
+            flat = np.concatenate([model.p[k].ravel() for k in sorted(model.p)])
+            parts = [flat[i : i + CHUNK].tobytes() for i in range(0, len(flat), CHUNK)]
+            task = [TaskContext.get().partitionId()] * len(parts)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(task, pa.int32()), pa.array([n] * len(parts), pa.int64()), pa.array(parts, pa.binary())], [c.split()[0] for c in _COPY.split(", ")])
 
     return run
 
 
+def _mean(key: tuple, rows: pa.Table) -> pa.Table:
+    rows = rows.sort_by("task")
+    n = rows["n"].to_pylist()
+    mean = sum(k * np.frombuffer(p.as_py(), np.float32).astype(np.float64) for k, p in zip(n, rows["part"], strict=True)) / sum(n)
+    return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([len(n)], pa.int32()), pa.array([sum(n)], pa.int64()), pa.array([mean.astype(np.float32).tobytes()], pa.binary())], [c.split()[0] for c in _COPY.split(", ")])
+
+
+def fit_all(texts: DataFrame, model: Model, total: int) -> list[int]:
+    """Fit model to all texts, which have `total` tokens; returns the tokens that each pass read.
+
+    In the first pass the rate stays as it is; in the others it falls over the tokens that a task had on average."""
+    read: list[int] = []
+    expected = math.inf
+    texts = texts.coalesce(max(1, total // TASK_TOKENS))
+    for turn in range(PASSES):
+        held = texts.sparkSession.sparkContext.broadcast(model)
+        copies = texts.mapInArrow(_fit(held, turn / PASSES, expected), _COPY)
+        means = sorted(copies.groupBy("chunk").applyInArrow(_mean, _COPY).collect())  # one copy of the network
+        held.unpersist()
+        flat = np.frombuffer(b"".join(bytes(r.part) for r in means), np.float32)
+        cuts = np.cumsum([model.p[k].size for k in sorted(model.p)])[:-1]
+        model.p = {k: x.reshape(model.p[k].shape).copy() for k, x in zip(sorted(model.p), np.split(flat, cuts), strict=True)}
+        read.append(means[0].n)
+        expected = means[0].n / means[0].task
+    return read
+
+
 _SCORED = "uid bigint, id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, rare array<bigint>"
 
 
@@ -288,13 +355,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             break
     head = counts.where(step >= low).toArrow()  # the most frequent words, HEAD_WORDS at most
     model = Model(head["key"].to_numpy().view(np.uint64), head["n"].to_numpy(), total, distinct, {r.k: (r.n, r.v) for r in totals})
-    share = min(1.0, FIT_TOKENS / max(total, 1))
-    sample = rows.where("NOT held_out").select("text", F.xxhash64("id").alias("h")).where(F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000) + 1)
     if total:
-        held = spark.sparkContext.broadcast(model)
-        got = sorted((r.h, bytes(r.ids)) for r in sample.mapInArrow(_sample(held), "h bigint, ids binary").toLocalIterator())
-        ids = np.frombuffer(b"".join(x for _, x in got), np.int32)[: 2 * FIT_TOKENS]
-        model.fit(ids, int(model.look_up(np.array([END_KEY]))[0][0]))
+        fit_all(rows.where("NOT held_out").select("text"), model, total)
     held = spark.sparkContext.broadcast(model)
     each = materialize(rows.select("id", "held_out", "text").mapInArrow(_score(held), _SCORED), "lm-scores")
     norm = np.log10(model.tail_mass + model.tail_words + 1).tolist()

@@ -167,6 +167,29 @@ def test_language_model_is_a_distribution_and_learns(monkeypatch):
     assert np.allclose(whole, alone, rtol=1e-3)
 
 
+def test_language_model_is_fitted_on_every_training_text(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "TASK_TOKENS", 3000)
+    monkeypatch.setattr(language_model, "BLOCK_TOKENS", 1000)
+    rng = random.Random(9)
+    texts = [words_of(rng, ["a", "b", "c"], rng.randrange(80)) for _ in range(200)] + ["", None, "a b " * 2500]  # one text of many blocks
+    keys = np.concatenate([language_model.token_keys(pa.array([x], pa.string()))[0] for x in texts])
+    own, counts = np.unique(keys, return_counts=True)
+    tails = {int(k): (int(counts[(own & language_model._CLASS) == k].sum()), int(((own & language_model._CLASS) == k).sum())) for k in np.unique(own & language_model._CLASS)}
+    model = language_model.Model(own, counts, len(keys), len(own), tails)
+    last = language_model.token_keys(pa.array(["a b " * 20]))
+    before = model.score(model.look_up(last[0])[0], last[1])[0]
+    read = language_model.fit_all(spark.createDataFrame([(x,) for x in texts], "text string").repartition(5), model, len(keys))
+    assert read == [len(keys)] * language_model.PASSES
+    assert model.score(model.look_up(last[0])[0], last[1])[0] > before
+
+
+def test_language_model_learns_beyond_any_sample_size(docs, monkeypatch):
+    monkeypatch.setattr(language_model, "FIT_TOKENS", 100, raising=False)  # the former size of the sample
+    rows = [(i, "one two three four five six seven eight " * 12) for i in range(4000)]
+    got = language_model.lm_scores(docs(rows)).collect()
+    assert all(r.score > -0.45 * r.n_tokens for r in got)  # by counts alone about -0.9 a token
+
+
 # language identification
 
 
