@@ -1,17 +1,16 @@
-"""Shared parts of the training-data operators: table access, shared-folder tables, word arrays."""
+"""Shared parts of the training-data operators: table access, word arrays."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
-from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import materialize, shared_dir  # noqa: F401
+
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text that the Arrow stages turn into arrays at a time; one longer text is taken alone.
@@ -22,33 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a temporary one only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found and spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='postmill-')}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors.
-
-    The table goes when the JVM ends. Shuffle files of the finished steps are released."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/postmill/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    with suppress(Exception):  # only tidying
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    out = spark.read.schema(df.schema).parquet(path)
-    jvm.System.gc()
-    return out
-
-
 def small(df: DataFrame, rows: int, bound: int) -> DataFrame:
     """df with a broadcast hint if its row count is within the bound; the planner decides otherwise."""
     return F.broadcast(df) if rows <= bound else df

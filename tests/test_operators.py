@@ -48,6 +48,13 @@ def test_merge_does_not_depend_on_partitions(spark):
     assert [r.asDict() for r in ingest(spark, *rows)] == [r.asDict() for r in ingest(spark, *rows[::-1])]
 
 
+def test_merge_follows_chains_of_any_length(spark):
+    # row i shares a link with row i - 1 and another with row i + 1 only: one entity, however long the chain
+    chain = [posting(i, urls=[f"u{i}", f"u{i + 1}"]) for i in range(1, 101)]
+    got = ingest(spark, *chain, posting(200, urls=["v"]), posting(201))
+    assert [(r.entity, sorted(r.seqs)) for r in got] == [(1, list(range(1, 101))), (200, [200]), (201, [201])]
+
+
 def test_line_merge(spark):
     df = spark.createDataFrame([(1, "Duty A\n熟悉 Python\n30-60K", "duty a\n熟悉Python\n40-60K\n\n"), (2, None, ""), (3, "+5%\n-5%\n5.0\n50\nC++\nC#\na-b\na–b\na:b\na：b", None)], "id int, a string, b string")
     got = {r.id: r.text.split("\n") for r in windows.merge_lines(df, "id", ["a", "b"]).collect()}
