@@ -500,8 +500,8 @@ def q47_conversation_review(spark, d):
 def q48_ordered_ingest(spark, d):
     doc = _t(spark, d, "documents")
     blank = {f: F.lit("") for f in matching.FACTS} | {"title": F.col("source"), "city": F.col("lang")}
-    rows = doc.select(F.col("doc_id").alias("seq"), F.array(F.concat(F.lit("https://x.example/"), F.when(F.col("doc_id") % 10 == 0, F.floor(F.col("doc_id") / 20)).cast("string"))).alias("urls"), F.lit("").alias("identity"), F.sha2(text.normal_form(F.col("text"), exact=False), 256).alias("content_hash"), F.lit("source_refresh").alias("mode"), F.array().cast("array<string>").alias("edited"), F.substring("text", 1, 2000).alias("raw_text"), F.lit("未知").alias("status_validity"), *[c.alias(n) for n, c in blank.items()])
-    return merge.ingest(rows).select("entity", "seqs", "urls", F.size("conflicts").alias("n_conflicts"), "title", "city")
+    rows = doc.select(F.col("doc_id").alias("seq"), F.array(F.concat(F.lit("https://x.example/"), F.when(F.col("doc_id") % 10 == 0, F.floor(F.col("doc_id") / 20)).cast("string"))).alias("urls"), F.lit("").alias("identity"), F.sha2(text.normal_form(F.col("text"), exact=False), 256).alias("content_hash"), F.lit("source_refresh").alias("mode"), F.array().cast("array<string>").alias("edited"), F.col("text").alias("raw_text"), F.lit("未知").alias("status_validity"), *[c.alias(n) for n, c in blank.items()])
+    return merge.ingest(rows).select("entity", "seqs", "urls", F.size("conflicts").alias("n_conflicts"), "title", "city", F.sha2("raw_text", 256).alias("raw_text_hash"))
 
 
 @query("""

@@ -1,5 +1,6 @@
 """Every query of the library against its SQL in DuckDB, on the smallest test tables."""
 
+import hashlib
 import importlib.util
 from pathlib import Path
 
@@ -49,6 +50,22 @@ def test_ordered_ingest_keeps_every_row_once(spark):
     assert all(r.entity == min(r.seqs) for r in got)
 
 
+def test_ordered_ingest_merges_whole_texts(spark, tmp_path):
+    long = "\n".join(f"line {i} of a long posting" for i in range(400))
+    texts = {20: long, 30: f"{long.upper()}\nthe end", 41: "alone\n" * 3, 42: None}  # ids 20 and 30 share a link
+    rows = [(i, x, "en", "s", 1) for i, x in texts.items()]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.entity: (sorted(r.seqs), r.raw_text_hash) for r in queries.QUERIES["q48_ordered_ingest"](spark, str(tmp_path)).collect()}
+    want = {}
+    for entity, seqs in ((20, [20, 30]), (41, [41]), (42, [42])):
+        lines = {}
+        for line in "\n".join(texts[i] or "" for i in seqs).split("\n"):
+            lines.setdefault("".join(line.split()).lower(), line.strip())
+        lines.pop("", None)
+        want[entity] = (seqs, hashlib.sha256("\n".join(lines.values()).encode()).hexdigest())
+    assert got == want
+
+
 def test_entry(spark):
     spec = importlib.util.spec_from_file_location("entry", Path(__file__).resolve().parents[1] / "__spark_entry__.py")
     module = importlib.util.module_from_spec(spec)
