@@ -1,14 +1,14 @@
-"""Substring dedup on a compacted De Bruijn graph of words.
-
-Every run of `window` words is an edge of the graph. Edges are never listed one by one: consecutive
-edges of a document that share their minimizer (the smallest-hashed `seed`-word part of the window)
-form one path piece, and equal windows always have equal minimizers at equal places. Path pieces whose
-minimizer occurs once hold no repeat and go. A piece that occurs twice as a whole is a repeated
-nonbranching path: all its windows are repeated. Only where pieces with one minimizer differ, at the
-branches, are single windows hashed and counted. A shared path of any length thus costs a few rows per
-occurrence, and a passage that a third of the documents holds is only ever counted, never paired.
-Source coordinates (document, first word) carry every piece back to its text, where two independent
-64-bit hashes of the words at those coordinates must agree.
+"""Substring dedup by minimizer pieces, which replace the compaction of a De Bruijn graph of words.
+
+Every run of `window` words would be an edge of the graph. Edges are never listed one by one, and no nodes,
+degrees or joins of edges across pieces are made: consecutive windows of a document that share their
+minimizer (the smallest-hashed `seed`-word part of the window) form one piece, and equal windows always
+have equal minimizers at equal places. Pieces whose minimizer occurs once hold no repeat and go. In a piece
+that occurs twice as a whole all windows are repeated. Only where pieces with one minimizer differ are
+single windows hashed and counted. So which windows repeat is told without joining pieces into paths. A
+passage that a third of the documents holds is only ever counted, never paired. Coordinates (document,
+first word) carry every piece back to its text, where two 64-bit hashes, both of the same 64-bit word
+hashes, must agree; the words themselves aren't compared.
 """
 
 from __future__ import annotations
