@@ -87,7 +87,7 @@ def pack(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes
         out[word[first]] = np.bitwise_or.reduceat(here, first)
         spill = np.flatnonzero(over > 0)
         out[word[spill] + 1] |= code[spill] << (64 - over[spill]).astype(np.uint64)
-    return out.astype(">u8").tobytes(), begins[::STEP].astype(np.uint32)
+    return out.astype(">u8").tobytes(), begins[::STEP]
 
 
 def unpack(blob: bytes, marks: np.ndarray, n: int, lookup: np.ndarray) -> np.ndarray:
@@ -189,19 +189,28 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     ids.mapInArrow(_blocks(kind, lengths), _BLOCK).write.partitionBy("part").parquet(f"{path}/blocks")
 
 
+#: Bytes of ids in a batch that is read back: what 32-bit offsets can tell.
+BATCH_BYTES = (1 << 31) - 1
+
+
 def _unblock(lengths: bytes, before: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = decode_table(np.frombuffer(lengths, np.uint8))
         for batch in batches:
             for row in batch.to_pylist():
                 sizes = np.array(row["sizes"], np.int64)
-                ids = unpack(row["bits"], np.frombuffer(row["marks"], np.uint32), int(sizes.sum()), lookup)
+                ids = unpack(row["bits"], np.frombuffer(row["marks"], np.int64), int(sizes.sum()), lookup)
                 cuts = np.concatenate([[0], np.cumsum(sizes)]) * 4
                 starts = np.array(row["starts"], np.int64) + before[row["part"]]
-                flat = pa.py_buffer(ids.astype("<u4"))
-                if cuts[-1] < 1 << 31:
-                    blobs = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(cuts.astype(np.int32)), flat])
-                    yield pa.RecordBatch.from_arrays([pa.array(row["docs"], pa.int64()), pa.array(starts), pa.array(sizes), blobs], ["doc_id", "start", "n_tokens", "ids"])
+                flat, at = ids.astype("<u4"), 0
+                while at < len(sizes):  # as many texts as one batch can hold
+                    to = int(np.searchsorted(cuts, cuts[at] + BATCH_BYTES, side="right")) - 1
+                    if to == at:
+                        raise ValueError(f"the ids of document {row['docs'][at]} take {sizes[at] * 4} bytes, more than the {BATCH_BYTES} that one value can have")
+                    part = pa.py_buffer(flat[cuts[at] // 4 : cuts[to] // 4])
+                    blobs = pa.Array.from_buffers(pa.binary(), to - at, [None, pa.py_buffer((cuts[at : to + 1] - cuts[at]).astype(np.int32)), part])
+                    yield pa.RecordBatch.from_arrays([pa.array(row["docs"][at:to], pa.int64()), pa.array(starts[at:to]), pa.array(sizes[at:to]), blobs], ["doc_id", "start", "n_tokens", "ids"])
+                    at = to
 
     return run
 

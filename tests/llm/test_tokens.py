@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -102,3 +103,22 @@ def test_packing_covers_each_id_once(docs):
             at += length
         assert at <= 128
     assert packing.pack_documents(docs([])).count() == 0
+
+
+def test_blocks_beyond_a_batch_are_read_in_parts_or_raise(monkeypatch):
+    lengths = np.full(256, 8, np.uint8)
+    texts = [np.arange(n, dtype=np.uint16) % 256 for n in (30, 1, 50, 200, 7)]
+    ends = np.cumsum([len(x) for x in texts]).tolist()
+    columns = [[0] * 5, list(range(5)), [e - len(x) for e, x in zip(ends, texts, strict=True)], [len(x) for x in texts], [x.tobytes() for x in texts]]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["part", "id", "start", "n", "ids"])
+    blocks = list(token_files._blocks("uint16", lengths.tobytes())([batch]))
+    for limit in (800, 1000, 1 << 20):
+        monkeypatch.setattr(token_files, "BATCH_BYTES", limit)
+        got = [r for b in token_files._unblock(lengths.tobytes(), {0: 5})(blocks) for r in b.to_pylist()]
+        assert [(r["doc_id"], r["start"], r["n_tokens"]) for r in got] == [(i, columns[2][i] + 5, len(x)) for i, x in enumerate(texts)]
+        assert all(np.frombuffer(r["ids"], "<u4").tolist() == x.tolist() for r, x in zip(got, texts, strict=True))
+    monkeypatch.setattr(token_files, "BATCH_BYTES", 799)
+    with pytest.raises(ValueError, match="document 3"):
+        list(token_files._unblock(lengths.tobytes(), {0: 5})(blocks))
+    bits, marks = token_files.pack(texts[3], lengths, token_files.canonical_codes(lengths))
+    assert marks.dtype.itemsize == 8
