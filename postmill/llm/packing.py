@@ -57,10 +57,12 @@ def _cut(path: str, capacity: int, release: bool):
         for batch in batches:
             for piece in pieces(batch):
                 rows = []
-                for doc, blob in zip(piece.column("id").to_pylist(), encoder.encode(piece.column("text").to_pylist()), strict=True):
-                    ids = np.append(np.frombuffer(blob, encoder.kind), encoder.kind(END_ID)).astype("<u4")
-                    full, rest = divmod(len(ids), capacity)
-                    rows.append((chunk, doc, len(ids), rest, int(seen[rest]), full, fulls, [zlib.crc32(ids[at : at + capacity]) for at in range(0, len(ids), capacity)]))
+                flat, cuts = encoder.encode_all(piece.column("text"))
+                ids = np.insert(flat, cuts[1:], END_ID).astype("<u4")
+                ends = (cuts[1:] + np.arange(1, len(cuts))).tolist()
+                for doc, a, b in zip(piece.column("id").to_pylist(), [0, *ends], ends, strict=False):
+                    full, rest = divmod(b - a, capacity)
+                    rows.append((chunk, doc, b - a, rest, int(seen[rest]), full, fulls, [zlib.crc32(ids[at : min(at + capacity, b)]) for at in range(a, b, capacity)]))
                     seen[rest] += 1
                     fulls += full
                 kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]

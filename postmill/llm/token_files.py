@@ -17,11 +17,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, pieces, shared_dir, table
+from .common import materialize, pieces, shared_dir, table, text_bytes
 from .tokens import END_ID, Encoder, tokenizer_path
 
 #: Longest code; the decoding table has 2**MAX_BITS entries.
 MAX_BITS, STEP, BLOCK_IDS = 18, 128, 1 << 20
+#: Bytes of ids in a batch: what 32-bit offsets can tell.
+BATCH_BYTES = (1 << 31) - 1
 
 
 def code_lengths(counts: np.ndarray, longest: int = MAX_BITS) -> np.ndarray:
@@ -105,32 +107,38 @@ def unpack(blob: bytes, marks: np.ndarray, n: int, lookup: np.ndarray) -> np.nda
     return out.ravel()[:n]
 
 
-_IDS = "part int, id bigint, start bigint, n bigint, ids binary"
+_IDS = "part int, id bigint, start bigint, n bigint, ids binary, tokens array<int>, counts array<bigint>"
+
+
+def _binary(values: np.ndarray, ends: np.ndarray, doc) -> pa.Array:
+    """Binary values that lie one after another and end at `ends` (items of `values`)."""
+    cuts = np.concatenate([[0], ends]) * values.itemsize
+    if cuts[-1] > BATCH_BYTES:
+        raise ValueError(f"the ids of document {doc} take {cuts[-1]} bytes, more than the {BATCH_BYTES} that one value can have")
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(values)])
 
 
 def _encode(path: str):
+    """A row for each text, and at the end of a part one with the counts of its ids, n being null and start their number."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, start = Encoder.at(path), TaskContext.get().partitionId(), 0
-        end = np.array([END_ID], encoder.kind).tobytes()
+        total = np.zeros(encoder.tokenizer.get_vocab_size(), np.int64)
+        names = [c.split()[0] for c in _IDS.split(", ")]
+        lists = [pa.list_(pa.int32()), pa.list_(pa.int64())]
         for batch in batches:
             for piece in pieces(batch):
-                ids = [x + end for x in encoder.encode(piece.column("text").to_pylist())]
-                n = np.array([len(x) // len(end) for x in ids], np.int64)
+                flat, cuts = encoder.encode_all(piece.column("text"))
+                n, ids = np.diff(cuts) + 1, np.insert(flat, cuts[1:], END_ID)
                 begin = start + np.cumsum(n) - n
-                start += int(n.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), piece.column("id"), pa.array(begin), pa.array(n), pa.array(ids, pa.binary())], ["part", "id", "start", "n", "ids"])
-
-    return run
-
-
-def _count(kind: str, size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
-        for batch in batches:
-            for blob in batch.column("ids"):
-                total += np.bincount(np.frombuffer(blob.as_buffer(), kind), minlength=size)
-        ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], ["token", "count"])
+                start += len(ids)
+                total += np.bincount(ids, minlength=len(total))
+                blobs = _binary(ids, np.cumsum(n), piece.column("id")[0])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), piece.column("id"), pa.array(begin), pa.array(n), blobs, *(pa.nulls(len(n), t) for t in lists)], names)
+        if start:
+            used = np.flatnonzero(total)
+            row = [pa.array([part], pa.int32()), pa.nulls(1, pa.int64()), pa.array([start], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*row, pa.array([used.tolist()], lists[0]), pa.array([total[used].tolist()], lists[1])], names)
 
     return run
 
@@ -146,7 +154,7 @@ def _blocks(kind: str, lengths: bytes):
 
         def block() -> pa.RecordBatch:
             part, docs, starts, sizes, ids = zip(*held, strict=True)
-            bits, marks = pack(np.concatenate([np.frombuffer(x, kind) for x in ids]), of, codes)
+            bits, marks = pack(np.concatenate(ids), of, codes)
             row = [[part[0]], [starts[0]], [docs], [starts], [sizes], [bits], [marks.tobytes()]]
             kinds = [pa.int32(), pa.int64(), *[pa.list_(pa.int64())] * 3, pa.binary(), pa.binary()]
             held.clear()
@@ -154,7 +162,9 @@ def _blocks(kind: str, lengths: bytes):
 
         size = 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("part", "id", "start", "n", "ids")), strict=True):
+            data, off = text_bytes(batch.column("ids"))
+            ids = np.split(data.view(kind), off[1:-1] // np.dtype(kind).itemsize)
+            for row in zip(*(batch.column(c).to_pylist() for c in ("part", "id", "start", "n")), ids, strict=True):
                 if held and (size + row[3] > BLOCK_IDS or row[0] != held[-1][0] or row[2] != held[-1][2] + held[-1][3]):
                     yield block()
                     size = 0
@@ -178,19 +188,18 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     ordered = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "id").sortWithinPartitions("id", F.xxhash64("text"))
     ids = materialize(ordered.mapInArrow(_encode(tokenizer), _IDS), "token-ids", "zstd")
+    ends = ids.where("n IS NULL")
     counts = np.zeros(size, np.int64)
-    for token, n in ids.select("ids").mapInArrow(_count(kind, size), "token bigint, count bigint").groupBy("token").agg(F.sum("count")).collect():  # at most the vocabulary
+    each = ends.select(F.explode(F.arrays_zip("tokens", "counts")).alias("x"))
+    for token, n in each.groupBy("x.tokens").agg(F.sum("x.counts")).collect():  # at most the vocabulary
         counts[token] = n
     lengths = code_lengths(counts).tobytes()
-    sums = sorted((r[0], r[1]) for r in ids.groupBy("part").agg(F.sum("n")).collect())  # one row for each part
+    sums = sorted((r[0], r[1]) for r in ends.select("part", "start").collect())  # one row for each part
     before = np.cumsum([0, *(n for _, n in sums)]).tolist()
     header = [(lengths, [p for p, _ in sums], before[:-1])]
     spark.createDataFrame(header, "lengths binary, parts array<int>, before array<bigint>").write.parquet(f"{path}/header")
-    ids.mapInArrow(_blocks(kind, lengths), _BLOCK).write.partitionBy("part").parquet(f"{path}/blocks")
-
-
-#: Bytes of ids in a batch that is read back: what 32-bit offsets can tell.
-BATCH_BYTES = (1 << 31) - 1
+    rows = ids.where("n IS NOT NULL").select("part", "id", "start", "n", "ids")
+    rows.mapInArrow(_blocks(kind, lengths), _BLOCK).write.partitionBy("part").parquet(f"{path}/blocks")
 
 
 def _unblock(lengths: bytes, before: dict[int, int]):
@@ -207,8 +216,7 @@ def _unblock(lengths: bytes, before: dict[int, int]):
                     to = int(np.searchsorted(cuts, cuts[at] + BATCH_BYTES, side="right")) - 1
                     if to == at:
                         raise ValueError(f"the ids of document {row['docs'][at]} take {sizes[at] * 4} bytes, more than the {BATCH_BYTES} that one value can have")
-                    part = pa.py_buffer(flat[cuts[at] // 4 : cuts[to] // 4])
-                    blobs = pa.Array.from_buffers(pa.binary(), to - at, [None, pa.py_buffer((cuts[at : to + 1] - cuts[at]).astype(np.int32)), part])
+                    blobs = _binary(flat[cuts[at] // 4 : cuts[to] // 4], (cuts[at + 1 : to + 1] - cuts[at]) // 4, row["docs"][at])
                     yield pa.RecordBatch.from_arrays([pa.array(row["docs"][at:to], pa.int64()), pa.array(starts[at:to]), pa.array(sizes[at:to]), blobs], ["doc_id", "start", "n_tokens", "ids"])
                     at = to
 

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from postmill.llm import packing, token_files
+from postmill.llm import packing, token_files, tokens
 from postmill.llm.tokens import Encoder, tokenizer_path
 
 ROWS = [(3, "Hello world, it's 12 o'clock"), (1, None), (2, ""), (5, "word " * 3000), (4, "two\n\n lines\t x  y \r\n"), (None, "no id"), (9, "a　b<|endoftext|> c"), (9, "again"), (7, "tail \n")]
@@ -25,6 +25,23 @@ def test_encoder_is_exact(text):
     assert np.frombuffer(e.encode([text])[0], e.kind).tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("abZé×ſ.'\n\t 　…1²٣<|_s"), max_size=30) | st.none(), max_size=12))
+def test_encoder_is_exact_for_many_texts(texts):
+    e = Encoder.at(tokenizer_path())
+    assert [np.frombuffer(x, e.kind).tolist() for x in e.encode(texts)] == [e.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_encoder_is_exact_when_its_table_is_thinned(monkeypatch):
+    monkeypatch.setattr(tokens, "SLOT_BITS", 9)
+    monkeypatch.setattr(tokens, "AT_ONCE", 128)
+    e, rng = Encoder(tokenizer_path()), random.Random(4)
+    for _ in range(20):
+        texts = [" ".join(rng.choice(("the", "of", f"w{rng.randrange(10**6)}", f"averyveryverylongword{rng.randrange(99)}")) for _ in range(60)) for _ in range(20)]
+        assert [np.frombuffer(x, e.kind).tolist() for x in e.encode(texts)] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert e.held <= tokens.FULL * (1 << 9)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 300), min_size=1, max_size=800), st.integers(9, 18))
 def test_huffman_round_trip(ids, longest):
