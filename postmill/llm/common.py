@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import materialize, shared_dir  # noqa: F401
+from ..storage import discard, materialize, shared_dir  # noqa: F401
 
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -30,6 +31,16 @@ def small(df: DataFrame, rows: int, bound: int) -> DataFrame:
 DROP_IDS = 1_000_000
 
 
+def row_keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key, id, text) of all rows, key being unique: the id, or where ids are null or repeated a number of the row.
+
+    Numbers are given once, in a table, so that they stay the same whatever is run again."""
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    if rows.where("id IS NULL").isEmpty() and rows.groupBy("id").count().where("count > 1").isEmpty():
+        return rows.select(F.col("id").alias("key"), "id", "text")
+    return materialize(rows.select(F.monotonically_increasing_id().alias("key"), "id", "text"), "keyed-rows")
+
+
 def without(docs: DataFrame, dropped: DataFrame, id_col: str, differs) -> DataFrame:
     """docs but for the rows of `dropped` (drop_id and what `differs` looks at): same id, null included, and not differs."""
     dropped = materialize(dropped.distinct(), "dropped")
@@ -102,6 +113,16 @@ def words(data: np.ndarray, off: np.ndarray, space: np.ndarray = _SPACE) -> tupl
     return starts, ends, np.searchsorted(starts, off)
 
 
+def compact(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words one after another, each followed by one space, and their new starts and ends."""
+    lengths = ends - starts + 1
+    to = np.cumsum(lengths)
+    begin = to - lengths
+    out = np.append(data, np.uint8(32))[np.arange(to[-1] if len(to) else 0) + np.repeat(starts - begin, lengths)]
+    out[to - 1] = 32
+    return out, begin, to - 1
+
+
 _MASK = (1 << 64) - 1
 _POWERS: dict[int, list[np.ndarray]] = {}
 BYTE_BASE, WORD_BASE, WORD_BASE_2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
@@ -146,9 +167,56 @@ class Rolling:
         return mix((self.sums[ends] - self.sums[starts]) * self.back[starts])
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    return Rolling(data.astype(np.uint64) + np.uint64(1), BYTE_BASE).of(starts, ends) if len(starts) else np.zeros(0, np.uint64)
+#: Bytes of a word that are hashed eight at a time, all words side by side; longer words are hashed one by one.
+SIDE_BYTES = 64
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes; those of other seeds are independent."""
+    n = ends - starts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(padded) - 7, np.uint64, padded, strides=(1,))  # the eight bytes from each place on
+    out = mix(n.astype(np.uint64) + np.uint64(BYTE_BASE * (seed + 1) & _MASK))
+    left = np.arange(len(n))
+    for at in range(0, SIDE_BYTES, 8):
+        left = left[n[left] > at] if at else left
+        if not len(left):
+            break
+        part = eight[starts[left] + at] & _KEEP[np.minimum(n[left] - at, 8)]
+        out[left] = mix(out[left] ^ mix(part + np.uint64(WORD_BASE)))
+    for i in np.flatnonzero(n > SIDE_BYTES).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]], seed)
+    return out
+
+
+class Slots:
+    """A table of distinct uint64 keys that finds many at once."""
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(4, (2 * len(keys)).bit_length())
+        self.keys, self.at = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
+        left = np.arange(len(keys))
+        slot = self._first(keys)
+        while len(left):
+            free = left[self.at[slot[left]] < 0]
+            self.at[slot[free]], self.keys[slot[free]] = free, keys[free]  # of keys that meet in a slot one stays
+            left = left[self.at[slot[left]] != left]
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return (mix(keys) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, or -1."""
+        slot = self._first(keys)
+        out = self.at[slot]
+        left = np.flatnonzero((self.keys[slot] != keys) & (out >= 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+            out[left] = self.at[slot[left]]
+            left = left[(self.keys[slot[left]] != keys[left]) & (out[left] >= 0)]
+        return out
 
 
 def crc_mod(id_col: str, mod: int):

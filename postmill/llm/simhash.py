@@ -17,22 +17,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DROP_IDS, WORD_BASE, Rolling, fold, materialize, mix, pieces, small, table, text_bytes, without, word_hashes, words
+from .common import DROP_IDS, WORD_BASE, Rolling, compact, fold, materialize, mix, pieces, small, table, text_bytes, without, word_hashes, words
 from .components import components
 
 SEED = 42
 
 
-def compact(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The words one after another, each followed by one space, and their new starts and ends."""
-    lengths = ends - starts + 1
-    to = np.cumsum(lengths)
-    begin = to - lengths
-    out = np.append(data, np.uint8(32))[np.arange(to[-1] if len(to) else 0) + np.repeat(starts - begin, lengths)]
-    out[to - 1] = 32
-    return out, begin, to - 1
-
-
 def majority_bits(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     """For each run hashes[cuts[i]:cuts[i+1]]: the bits set in over half of it; 0 for an empty run."""
     out = np.zeros(len(cuts) - 1, np.uint64)

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given
@@ -78,6 +79,58 @@ def test_substring_dedup_against_brute_force(docs, window):
         assert sum(s.end - s.start for s in r.removed) == r.n_removed
 
 
+def thue_morse(first, second, n):
+    return [(first, second)[bin(i).count("1") % 2] for i in range(n)]
+
+
+def test_substring_dedup_tells_words_apart_that_polynomials_do_not(docs):
+    rng = random.Random(2)
+    context = [f"w{rng.randrange(10**6)}" for _ in range(34)]
+    rows = [(i, " ".join([*context[:17], "".join(thue_morse(a, b, 1024)), *context[17:]])) for i, (a, b) in enumerate([("a", "b"), ("b", "a")])]
+    assert [r.n_removed for r in substring_dedup.substring_dedup(docs(rows)).collect()] == [0, 0]
+
+
+def test_substring_dedup_of_many_rows_without_ids(docs):
+    rng = random.Random(3)
+    clean = [(None, text_of(rng, 50, 10**6)) for _ in range(3000)]
+    got = substring_dedup.substring_dedup(docs([*clean, (None, clean[0][1]), (None, None)]).repartition(6)).collect()
+    assert sorted((r.n_words, r.n_removed) for r in got) == sorted([(0, 0), *[(50, 0)] * 2999, *[(50, 50)] * 2])
+
+
+def test_substring_dedup_with_clashing_hashes(docs, monkeypatch, spark):
+    """Digests of the words decide where hashes clash."""
+    rng = random.Random(4)
+    shared = text_of(rng, 40)
+    rows = [(i, text_of(rng, 50, 10**6) + " " + rng.choice([shared, text_of(rng, 40, 10**6)])) for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+
+    def clash(batches):
+        for b in substring_dedup_spans(batches):
+            yield pa.RecordBatch.from_arrays([b["path"], b["n"], pa.array(range(b.num_rows), pa.int64()), b["b"]], b.schema.names)
+
+    substring_dedup_spans = substring_dedup._spans(35)
+    monkeypatch.setattr(substring_dedup, "_spans", lambda window: clash)
+    got = substring_dedup.substring_dedup(frame).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got), key=str) == brute_substring(rows, 35)
+
+
+def test_paths_are_compacted_to_the_ends_of_the_repeat(docs, monkeypatch):
+    rng, seen = random.Random(5), []
+    shared = text_of(rng, 300, 10**6)
+    rows = [(i, f"{text_of(rng, 20, 10**6)} {shared} {text_of(rng, 20, 10**6)}") for i in range(3)]
+    made = substring_dedup.materialize
+
+    def keep(df, label, *a):
+        seen.append((label, made(df, label, *a)))
+        return seen[-1][1]
+
+    monkeypatch.setattr(substring_dedup, "materialize", keep)
+    substring_dedup.substring_dedup(docs(rows)).collect()
+    spans = dict(seen)["texts-with-paths"].select("text", "ats", "edges").mapInArrow(substring_dedup._spans(35), substring_dedup._SPAN).collect()
+    assert sum(r.n for r in spans) == 3 * (300 - 34)
+    assert len({r.path for r in spans}) <= 3 and max(r.n for r in spans) > 200  # the ends, told as single windows, and one long span
+
+
 def test_substring_dedup_empty(docs):
     assert substring_dedup.substring_dedup(docs([])).count() == 0
 
