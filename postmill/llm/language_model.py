@@ -4,8 +4,9 @@ Word counts are taken over all training texts and stay distributed. The most fre
 network's own: each has a row of the input table, a class, and an output vector. Every other word, seen or
 not, belongs to one of TAIL classes by its last letters, within which it has its add-one share of the
 counts. So log P(word) = log P(class | state) + log P(word | class, state) for own words, and the second
-part is a count for the rest. The network is fitted on all training texts: in each pass every task fits a
-copy to its own texts by truncated backpropagation, and the copies are averaged by their tokens. Scoring
+part is a count for the rest. The network is fitted on all training texts, each of which is read once: the texts are dealt over a few
+rounds by hash, in each round every task fits a copy to its own texts by truncated backpropagation, and the
+copies are averaged by their tokens. Scoring
 carries the state from the first word of a text to its end.
 
 Counts of the HEAD_WORDS most frequent words (a fixed bound) are broadcast; the other words of each text
@@ -15,7 +16,6 @@ are joined with the count table by shuffling.
 from __future__ import annotations
 
 import copy
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,12 +24,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, fold, materialize, mix, pieces, table, text_bytes, word_hashes, words
+from .common import Slots, crc_mod, fold, materialize, mix, pieces, table, text_bytes, word_hashes, words
 
 #: Words whose counts are broadcast; words of the network; its classes of own words and of others; its state.
-HEAD_WORDS, OWN_WORDS, CLASSES, TAIL, HIDDEN = 1 << 19, 4096, 64, 64, 32
-#: Passes over all training texts, and lanes and steps of a window of the fit.
-PASSES, LANES, STEPS = 2, 128, 32
+HEAD_WORDS, OWN_WORDS, CLASSES, TAIL, HIDDEN = 1 << 19, 4096, 40, 64, 24
+#: Rounds of the fit, each on its own share of the training texts; lanes and steps of a window, the rate, and the
+#: windows over which a copy reaches it; windows of a lane at least, fewer lanes being taken for fewer tokens.
+ROUNDS, LANES, STEPS, RATE, WARM, LANE_WINDOWS = 4, 192, 24, 0.01, 16, 4
 #: Tokens that a task of the fit has at least where there are so many (a copy of the network is about as large as
 #: half of them), tokens that it holds at a time, and numbers of a row in which a copy is passed on.
 TASK_TOKENS, BLOCK_TOKENS, CHUNK = 2_000_000, 1 << 20, 1 << 13
@@ -97,6 +98,7 @@ class Model:
         ids = np.full(len(head), -1, np.int64)
         ids[order] = np.arange(self.own)
         self.keys, self.counts, self.ids = head[sort], counts[sort], ids[sort]
+        self.slots: Slots | None = None
         self.total, self.distinct = total, distinct
         self.tail_mass, self.tail_words = (np.array([tail_totals.get(k, (0, 0))[i] for k in range(TAIL)], float) for i in (0, 1))
         np.subtract.at(self.tail_mass, (own_keys & _CLASS).astype(int), own_counts)
@@ -117,96 +119,132 @@ class Model:
 
     def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Network ids, and counts (-1: not among the broadcast words)."""
-        if not len(self.keys):
-            return self.own + (keys & _CLASS).astype(np.int64), np.full(len(keys), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        found = self.keys[at] == keys
-        ids = np.where(found, self.ids[at], -1)
-        return np.where(ids >= 0, ids, self.own + (keys & _CLASS).astype(np.int64)), np.where(found, self.counts[at], -1)
-
-    def step(self, h: np.ndarray, ids: np.ndarray):
-        x, s = self.p["x"][ids] + self.p["b"], HIDDEN
-        a = h @ self.p["u"]
-        g = 1 / (1 + np.exp(-(x[:, : 2 * s] + a[:, : 2 * s])))
-        z, r = g[:, :s], g[:, s:]
-        n = np.tanh(x[:, 2 * s :] + r * a[:, 2 * s :])
-        return n + z * (h - n), z, r, n, a[:, 2 * s :]
+        if self.slots is None:  # made where it is used, not broadcast
+            self.slots = Slots(self.keys)
+        at = self.slots.find(keys)
+        found = at >= 0
+        ids = np.where(found, self.ids[at], -1) if len(self.keys) else np.full(len(keys), -1, np.int64)
+        counts = np.where(found, self.counts[at], -1) if len(self.keys) else np.full(len(keys), -1, np.int64)
+        return np.where(ids >= 0, ids, self.own + (keys & _CLASS).astype(np.int64)), counts
+
+    def step(self, h: np.ndarray, x: np.ndarray):
+        """The next state from h and the words' rows of x (with b), and the gates that it went through."""
+        s, a = HIDDEN, h @ self.p["u"]
+        g = x[:, : 2 * s] + a[:, : 2 * s]
+        np.negative(g, out=g)
+        np.exp(g, out=g)
+        g += 1
+        np.reciprocal(g, out=g)
+        n = g[:, s:] * a[:, 2 * s :]
+        n += x[:, 2 * s :]
+        np.tanh(n, out=n)
+        out = h - n
+        out *= g[:, :s]
+        out += n
+        return out, g, n, a[:, 2 * s :]
+
+    @staticmethod
+    def _exp(logits: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        """exp(logits) in place, shifted so that it neither overflows nor vanishes: states lie within -1 and 1, so the
+        weights bound the logits; where that bound is too loose, each row is shifted by its largest."""
+        if np.abs(weights).sum(axis=0).max() + np.abs(bias).max() < 60:
+            return np.exp(logits, out=logits), 0.0
+        top = logits.max(axis=1)
+        logits -= top[:, None]
+        return np.exp(logits, out=logits), top
 
     def outputs(self, h: np.ndarray, ids: np.ndarray, grads: dict | None = None):
         """log P of ids given states h; with grads also the gradient at h, and of the output weights into grads."""
-        rows = np.arange(len(ids))
-        cls = self.cls[ids]
-        logits = h @ self.p["c"] + self.p["cb"]
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        norm = e.sum(axis=1)
-        out = logits[rows, cls] - np.log(norm)
+        order = np.argsort(self.cls[ids].astype(np.uint8), kind="stable")  # class by class; tail classes come last
+        h, ids = h[order], ids[order]
+        rows, cls = np.arange(len(ids)), self.cls[ids]
+        logits = h @ self.p["c"]
+        logits += self.p["cb"]
+        out = logits[rows, cls]
+        e, top = self._exp(logits, self.p["c"], self.p["cb"])
+        norm = e @ np.ones(e.shape[1], np.float32)
+        out = out - top - np.log(norm)
         if grads is not None:
-            e /= norm[:, None]
+            e *= (1 / norm)[:, None]
             e[rows, cls] -= 1
-            grads["c"], grads["cb"] = h.T @ e, e.sum(axis=0)
+            grads["c"], grads["cb"] = h.T @ e, np.ones(len(e), np.float32) @ e
             back = e @ self.p["c"].T
             grads["w"], grads["wb"] = np.zeros_like(self.p["w"]), np.zeros_like(self.p["wb"])
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(self.n_classes + 1))
-        for k in range(self.n_classes):
-            some, a, b = order[cuts[k] : cuts[k + 1]], self.starts[k], self.starts[k + 1]
-            if not len(some) or b - a < 2:
+        cuts = np.searchsorted(cls, np.arange(self.n_classes + 1)).tolist()
+        for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            a, b = self.starts[k], self.starts[k + 1]
+            if lo == hi or b - a < 2:
                 continue
-            inner = h[some] @ self.p["w"][a:b].T + self.p["wb"][a:b]
-            inner -= inner.max(axis=1, keepdims=True)
-            e = np.exp(inner)
-            norm = e.sum(axis=1)
-            pick = (np.arange(len(some)), ids[some] - a)
-            out[some] += inner[pick] - np.log(norm)
+            some, w, wb = h[lo:hi], self.p["w"][a:b], self.p["wb"][a:b]
+            inner = some @ w.T
+            inner += wb
+            pick = (rows[: hi - lo], ids[lo:hi] - a)
+            chosen = inner[pick]
+            e, top = self._exp(inner, w.T, wb)
+            norm = e @ np.ones(b - a, np.float32)
+            out[lo:hi] += chosen - top - np.log(norm)
             if grads is not None:
-                e /= norm[:, None]
+                e *= (1 / norm)[:, None]
                 e[pick] -= 1
-                grads["w"][a:b], grads["wb"][a:b] = e.T @ h[some], e.sum(axis=0)
-                back[some] += e @ self.p["w"][a:b]
-        return (out, back) if grads is not None else out
+                grads["w"][a:b], grads["wb"][a:b] = e.T @ some, np.ones(hi - lo, np.float32) @ e
+                back[lo:hi] += e @ w
+        found = np.empty_like(out)
+        found[order] = out
+        if grads is None:
+            return found
+        at_h = np.empty_like(back)
+        at_h[order] = back
+        return found, at_h
 
     def fit(self, ids: np.ndarray, end: int) -> None:
         state = Moments(self)
-        for turn in range(PASSES):
-            self.fit_block(ids, end, state, (turn / PASSES, (turn + 1) / PASSES))
+        for turn in range(ROUNDS):
+            part = ids[turn * len(ids) // ROUNDS : (turn + 1) * len(ids) // ROUNDS]
+            self.fit_block(part, end, state, (turn / ROUNDS, (turn + 1) / ROUNDS))
 
     def fit_block(self, ids: np.ndarray, end: int, state: Moments, progress: tuple[float, float]) -> None:
         """Truncated backpropagation: each lane reads its part of the tokens, and keeps its state between windows;
         what the lanes leave over is read by one more."""
-        lanes = max(1, min(LANES, len(ids) // (2 * STEPS)))
+        lanes = max(1, min(LANES, len(ids) // (LANE_WINDOWS * STEPS)))
         whole, s = len(ids) // lanes * lanes, HIDDEN
         for lane in (ids[:whole].reshape(lanes, -1), ids[whole:].reshape(1, -1)):
             h = np.zeros((len(lane), s), np.float32)
             for at in range(0, lane.shape[1], STEPS):
-                part = lane[:, at : at + STEPS]
-                states, kept = [], []
-                for j in range(part.shape[1]):
-                    states.append(h)
-                    h2, z, r, n, a = self.step(h, part[:, j])
-                    go = (part[:, j] != end).astype(np.float32)[:, None]
-                    kept.append((h, z, r, n, a, go))
-                    h = h2 * go
+                part = np.ascontiguousarray(lane[:, at : at + STEPS].T)
+                x = self.p["x"][part]
+                x += self.p["b"]
+                go = (part != end).astype(np.float32)[:, :, None]
+                shape = (*part.shape, s)
+                states, z, r, n, a = (np.empty(shape, np.float32) for _ in range(5))
+                for j in range(len(part)):
+                    states[j] = h
+                    h, g, n[j], a[j] = self.step(h, x[j])
+                    z[j], r[j] = g[:, :s], g[:, s:]
+                    h *= go[j]
                 grads: dict[str, np.ndarray] = {}
-                _, back = self.outputs(np.concatenate(states), part.T.ravel(), grads)
-                back = back.reshape(len(states), len(lane), s)
-                dx, du, dh = np.zeros((len(states), len(lane), 3 * s), np.float32), np.zeros_like(self.p["u"]), np.zeros_like(h)
-                for j in range(len(states) - 1, -1, -1):
-                    h0, z, r, n, a, go = kept[j]
-                    d = dh * go
-                    dn = d * (1 - z) * (1 - n * n)
-                    gate = np.concatenate([d * (h0 - n) * z * (1 - z), dn * a * r * (1 - r), dn], axis=1)
-                    dx[j] = gate
-                    inner = np.concatenate([gate[:, : 2 * s], dn * r], axis=1)
-                    du += h0.T @ inner
-                    dh = d * z + inner @ self.p["u"].T + back[j]
-                grads["u"], grads["b"] = du, dx.sum(axis=(0, 1))
-                order = np.argsort(flat := part.T.ravel(), kind="stable")
+                _, back = self.outputs(states.reshape(-1, s), part.ravel(), grads)
+                back = back.reshape(shape)
+                of_n, of_z, of_r = (1 - z) * (1 - n * n), (states - n) * z * (1 - z), a * r * (1 - r)
+                dx, inner, dh = np.empty((*part.shape, 3 * s), np.float32), np.empty((*part.shape, 3 * s), np.float32), np.zeros_like(h)
+                for j in range(len(part) - 1, -1, -1):
+                    d = dh * go[j]
+                    dn = np.multiply(d, of_n[j], out=dx[j, :, 2 * s :])
+                    np.multiply(d, of_z[j], out=dx[j, :, :s])
+                    np.multiply(dn, of_r[j], out=dx[j, :, s : 2 * s])
+                    inner[j, :, : 2 * s] = dx[j, :, : 2 * s]
+                    np.multiply(dn, r[j], out=inner[j, :, 2 * s :])
+                    dh = inner[j] @ self.p["u"].T
+                    d *= z[j]
+                    dh += d
+                    dh += back[j]
+                dx = dx.reshape(-1, 3 * s)
+                grads["u"], grads["b"] = states.reshape(-1, s).T @ inner.reshape(-1, 3 * s), np.ones(len(dx), np.float32) @ dx
+                order = np.argsort((flat := part.ravel()).astype(np.uint16 if len(self.cls) < 1 << 16 else np.int32), kind="stable")
                 first = np.flatnonzero(np.diff(flat[order], prepend=-1))
                 seen = flat[order][first]
-                grads["x"] = np.add.reduceat(dx.reshape(-1, 3 * s)[order], first)
+                grads["x"] = np.add.reduceat(dx[order], first)
                 state.t += 1
-                rate = 0.005 * (1 - 0.9 * (progress[0] + (progress[1] - progress[0]) * at / lane.shape[1]))
+                rate = RATE * min(1.0, state.t / WARM) * (1 - 0.9 * (progress[0] + (progress[1] - progress[0]) * at / lane.shape[1]))
                 for k, g in grads.items():
                     rows = seen if k == "x" else slice(None)  # a word's row moves only in windows with the word
                     g = np.clip(g / lanes, -1, 1)
@@ -222,6 +260,7 @@ class Model:
         starts, sizes = cuts[:-1][order], sizes[order]
         live = len(sizes) - np.searchsorted(sizes[::-1], np.arange(1, sizes[0] + 1)) if len(sizes) else np.zeros(0, int)
         total, h, states, targets, rows, held = np.zeros(len(sizes)), np.zeros((len(sizes), HIDDEN), np.float32), [], [], [], 0
+        x = self.p["x"] + self.p["b"]
         for t, n in enumerate(live.tolist()):
             h = h[:n]
             now = ids[starts[:n] + t]
@@ -230,7 +269,7 @@ class Model:
             rows.append(np.arange(n))
             held += n
             if t + 1 < len(live):
-                h = self.step(h[: live[t + 1]], now[: live[t + 1]])[0]
+                h = self.step(h[: live[t + 1]], x[now[: live[t + 1]]])[0]
             if held >= 8192 or t + 1 == len(live):
                 got = self.outputs(np.concatenate(states), np.concatenate(targets))
                 total += np.bincount(np.concatenate(rows), got, len(total))
@@ -253,7 +292,7 @@ def _fit(held, progress: float, expected: float):
         def block(at: int) -> None:
             nonlocal waiting, size, n
             ids = np.concatenate(waiting)
-            span = tuple(progress + min(1.0, x / expected) / PASSES for x in (n, n + at))
+            span = tuple(progress + min(1.0, x / expected) / ROUNDS for x in (n, n + at))
             model.fit_block(ids[:at], end, state, span)
             waiting, size, n = [ids[at:]], size - at, n + at
 
@@ -282,22 +321,25 @@ def _mean(key: tuple, rows: pa.Table) -> pa.Table:
 
 
 def fit_all(texts: DataFrame, model: Model, total: int) -> list[int]:
-    """Fit model to all texts, which have `total` tokens; returns the tokens that each pass read.
+    """Fit model to all texts, which have `total` tokens; returns the tokens that each round read.
 
-    In the first pass the rate stays as it is; in the others it falls over the tokens that a task had on average."""
+    The rate falls over the rounds, and within each over the tokens that a task has on average."""
     read: list[int] = []
-    expected = math.inf
-    texts = texts.coalesce(max(1, total // TASK_TOKENS))
-    for turn in range(PASSES):
+    texts = texts.withColumn("round", F.pmod(F.xxhash64("text", F.lit(7)), F.lit(ROUNDS)))
+    texts = texts.coalesce(max(1, total // ROUNDS // TASK_TOKENS))
+    expected = total / ROUNDS / texts.rdd.getNumPartitions()
+    for turn in range(ROUNDS):
         held = texts.sparkSession.sparkContext.broadcast(model)
-        copies = texts.mapInArrow(_fit(held, turn / PASSES, expected), _COPY)
+        copies = texts.where(F.col("round") == turn).select("text").mapInArrow(_fit(held, turn / ROUNDS, expected), _COPY)
         means = sorted(copies.groupBy("chunk").applyInArrow(_mean, _COPY).collect())  # one copy of the network
         held.unpersist()
+        if not means:  # no text in this round
+            read.append(0)
+            continue
         flat = np.frombuffer(b"".join(bytes(r.part) for r in means), np.float32)
         cuts = np.cumsum([model.p[k].size for k in sorted(model.p)])[:-1]
         model.p = {k: x.reshape(model.p[k].shape).copy() for k, x in zip(sorted(model.p), np.split(flat, cuts), strict=True)}
         read.append(means[0].n)
-        expected = means[0].n / means[0].task
     return read
 
 
