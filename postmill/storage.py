@@ -32,5 +32,15 @@ def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataF
     with suppress(Exception):  # only tidying
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
+    out._postmill_path = path
     jvm.System.gc()
     return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize made and nothing needs any longer."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(df._postmill_path)
+        with suppress(Exception):  # only tidying; it goes when the JVM ends
+            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
