@@ -28,9 +28,9 @@ from .common import Slots, crc_mod, fold, materialize, mix, pieces, table, text_
 
 #: Words whose counts are broadcast; words of the network; its classes of own words and of others; its state.
 HEAD_WORDS, OWN_WORDS, CLASSES, TAIL, HIDDEN = 1 << 19, 4096, 40, 64, 24
-#: Rounds of the fit, each on its own share of the training texts; lanes and steps of a window, the rate, and the
+#: Rounds of the fit, each on its own share of the training texts; lanes and steps of a window, the rate at all lanes, and the
 #: windows over which a copy reaches it; windows of a lane at least, fewer lanes being taken for fewer tokens.
-ROUNDS, LANES, STEPS, RATE, WARM, LANE_WINDOWS = 4, 192, 24, 0.01, 16, 4
+ROUNDS, LANES, STEPS, RATE, WARM, LANE_WINDOWS = 4, 288, 24, 0.014, 16, 16
 #: Tokens that a task of the fit has at least where there are so many (a copy of the network is about as large as
 #: half of them), tokens that it holds at a time, and numbers of a row in which a copy is passed on.
 TASK_TOKENS, BLOCK_TOKENS, CHUNK = 2_000_000, 1 << 20, 1 << 13
@@ -82,7 +82,8 @@ class Moments:
 
     def __init__(self, model: Model):
         self.t = 0
-        self.m, self.v = ({k: np.zeros_like(x) for k, x in model.p.items()} for _ in range(2))
+        self.m, self.v = ({k: np.zeros_like(x) for k, x in model.p.items() if k != "x"} for _ in range(2))
+        self.rows = np.zeros(len(model.p["x"]), np.float32)
 
 
 class Model:
@@ -143,25 +144,30 @@ class Model:
         out += n
         return out, g, n, a[:, 2 * s :]
 
+    def _bounded(self) -> tuple[bool, bool]:
+        """Whether the logits of classes, and of words, can neither overflow nor vanish in exp: states lie within -1 and 1,
+        so the weights bound them. Where the bound is too loose, each row is shifted by its largest."""
+        return tuple(bool((np.abs(w).sum(axis=axis) + np.abs(b)).max(initial=0) < 60) for w, b, axis in ((self.p["c"], self.p["cb"], 0), (self.p["w"], self.p["wb"], 1)))
+
     @staticmethod
-    def _exp(logits: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
-        """exp(logits) in place, shifted so that it neither overflows nor vanishes: states lie within -1 and 1, so the
-        weights bound the logits; where that bound is too loose, each row is shifted by its largest."""
-        if np.abs(weights).sum(axis=0).max() + np.abs(bias).max() < 60:
-            return np.exp(logits, out=logits), 0.0
+    def _exp(logits: np.ndarray, bounded: bool) -> np.ndarray:
+        """exp(logits) in place and what they were shifted by."""
+        if bounded:
+            return np.exp(logits, out=logits), np.float32(0)
         top = logits.max(axis=1)
         logits -= top[:, None]
         return np.exp(logits, out=logits), top
 
-    def outputs(self, h: np.ndarray, ids: np.ndarray, grads: dict | None = None):
+    def outputs(self, h: np.ndarray, ids: np.ndarray, grads: dict | None = None, bounded: tuple[bool, bool] | None = None):
         """log P of ids given states h; with grads also the gradient at h, and of the output weights into grads."""
+        bounded = bounded or self._bounded()
         order = np.argsort(self.cls[ids].astype(np.uint8), kind="stable")  # class by class; tail classes come last
         h, ids = h[order], ids[order]
         rows, cls = np.arange(len(ids)), self.cls[ids]
         logits = h @ self.p["c"]
         logits += self.p["cb"]
         out = logits[rows, cls]
-        e, top = self._exp(logits, self.p["c"], self.p["cb"])
+        e, top = self._exp(logits, bounded[0])
         norm = e @ np.ones(e.shape[1], np.float32)
         out = out - top - np.log(norm)
         if grads is not None:
@@ -180,7 +186,7 @@ class Model:
             inner += wb
             pick = (rows[: hi - lo], ids[lo:hi] - a)
             chosen = inner[pick]
-            e, top = self._exp(inner, w.T, wb)
+            e, top = self._exp(inner, bounded[1])
             norm = e @ np.ones(b - a, np.float32)
             out[lo:hi] += chosen - top - np.log(norm)
             if grads is not None:
@@ -244,14 +250,24 @@ class Model:
                 seen = flat[order][first]
                 grads["x"] = np.add.reduceat(dx[order], first)
                 state.t += 1
-                rate = RATE * min(1.0, state.t / WARM) * (1 - 0.9 * (progress[0] + (progress[1] - progress[0]) * at / lane.shape[1]))
+                rate = RATE * (lanes / LANES) ** 0.5 * min(1.0, state.t / WARM) * (1 - 0.9 * (progress[0] + (progress[1] - progress[0]) * at / lane.shape[1]))
                 for k, g in grads.items():
-                    rows = seen if k == "x" else slice(None)  # a word's row moves only in windows with the word
-                    g = np.clip(g / lanes, -1, 1)
-                    m = state.m[k][rows] + 0.1 * (g - state.m[k][rows])
-                    v = state.v[k][rows] + 0.01 * (g * g - state.v[k][rows])
-                    state.m[k][rows], state.v[k][rows] = m, v
-                    self.p[k][rows] -= rate / (1 - 0.9**state.t) * m / (np.sqrt(v / (1 - 0.99**state.t)) + 1e-6)
+                    g *= 1 / lanes
+                    np.clip(g, -1, 1, out=g)
+                    if k == "x":  # a word's row moves only in windows with the word, by the running size of its gradients
+                        v = state.rows[seen]
+                        v += 0.01 * (np.einsum("ij,ij->i", g, g) / g.shape[1] - v)
+                        state.rows[seen] = v
+                        g *= (-rate / (np.sqrt(v / (1 - 0.99**state.t)) + 1e-6))[:, None]
+                        self.p[k][seen] += g
+                        continue
+                    m, v = state.m[k], state.v[k]
+                    m += 0.1 * (g - m)
+                    g *= g
+                    v += 0.01 * (g - v)
+                    root = np.sqrt(v * (1 / (1 - 0.99**state.t)))
+                    root += 1e-6
+                    self.p[k] -= np.divide(m, root, out=root) * (rate / (1 - 0.9**state.t))
 
     def score(self, ids: np.ndarray, cuts: np.ndarray) -> np.ndarray:
         """Natural log probability of each token row cuts[i]:cuts[i+1], its state carried from start to end."""
@@ -260,7 +276,7 @@ class Model:
         starts, sizes = cuts[:-1][order], sizes[order]
         live = len(sizes) - np.searchsorted(sizes[::-1], np.arange(1, sizes[0] + 1)) if len(sizes) else np.zeros(0, int)
         total, h, states, targets, rows, held = np.zeros(len(sizes)), np.zeros((len(sizes), HIDDEN), np.float32), [], [], [], 0
-        x = self.p["x"] + self.p["b"]
+        x, bounded = self.p["x"] + self.p["b"], self._bounded()
         for t, n in enumerate(live.tolist()):
             h = h[:n]
             now = ids[starts[:n] + t]
@@ -270,8 +286,8 @@ class Model:
             held += n
             if t + 1 < len(live):
                 h = self.step(h[: live[t + 1]], x[now[: live[t + 1]]])[0]
-            if held >= 8192 or t + 1 == len(live):
-                got = self.outputs(np.concatenate(states), np.concatenate(targets))
+            if held >= 16384 or t + 1 == len(live):
+                got = self.outputs(np.concatenate(states), np.concatenate(targets), bounded=bounded)
                 total += np.bincount(np.concatenate(rows), got, len(total))
                 states, targets, rows, held = [], [], [], 0
         out = np.zeros(len(total))
@@ -321,11 +337,12 @@ def _mean(key: tuple, rows: pa.Table) -> pa.Table:
 
 
 def fit_all(texts: DataFrame, model: Model, total: int) -> list[int]:
-    """Fit model to all texts, which have `total` tokens; returns the tokens that each round read.
+    """Fit model to all texts, which have `total` tokens; returns the tokens that each round read. Copies of a text with
+    other ids (further columns) are dealt over the rounds.
 
     The rate falls over the rounds, and within each over the tokens that a task has on average."""
     read: list[int] = []
-    texts = texts.withColumn("round", F.pmod(F.xxhash64("text", F.lit(7)), F.lit(ROUNDS)))
+    texts = texts.withColumn("round", F.pmod(F.xxhash64(*texts.columns), F.lit(ROUNDS)))
     texts = texts.coalesce(max(1, total // ROUNDS // TASK_TOKENS))
     expected = total / ROUNDS / texts.rdd.getNumPartitions()
     for turn in range(ROUNDS):
@@ -360,10 +377,10 @@ def _score(held):
                 ids, counts = model.look_up(keys)
                 rare = counts < 0
                 logp = model.score(ids, cuts)
-                known, counts = counts > 0, np.maximum(counts, 0)
-                tail = ids >= model.own
-                base = np.where(known, np.log10(counts + 1.0) - np.log10(model.total + model.distinct + 1.0), 0.0)
-                extra = np.where(known & tail, np.log(counts + 1.0) - tail_norm[(keys & _CLASS).astype(int)], 0.0)
+                known = counts > 0
+                logs = np.log(np.maximum(counts, 0) + 1.0)
+                base = np.where(known, logs / np.log(10) - np.log10(model.total + model.distinct + 1.0), 0.0)
+                extra = np.where(known & (ids >= model.own), logs - tail_norm[(keys & _CLASS).astype(int)], 0.0)
                 sums = [np.add.reduceat(x, cuts[:-1]) for x in (known.astype(np.int64), base, extra)]
                 n_rare = np.add.reduceat(rare.astype(np.int64), cuts[:-1])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_rare)]), pa.int32()), pa.array(keys[rare].view(np.int64)))
@@ -398,7 +415,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     head = counts.where(step >= low).toArrow()  # the most frequent words, HEAD_WORDS at most
     model = Model(head["key"].to_numpy().view(np.uint64), head["n"].to_numpy(), total, distinct, {r.k: (r.n, r.v) for r in totals})
     if total:
-        fit_all(rows.where("NOT held_out").select("text"), model, total)
+        fit_all(rows.where("NOT held_out").select("id", "text"), model, total)
     held = spark.sparkContext.broadcast(model)
     each = materialize(rows.select("id", "held_out", "text").mapInArrow(_score(held), _SCORED), "lm-scores")
     norm = np.log10(model.tail_mass + model.tail_words + 1).tolist()
