@@ -169,6 +169,8 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 BANDS, BAND_ROWS = 24, 5
 #: A band's bucket of up to this many texts is compared pair by pair; a larger one by stars and rounds.
 BAND_BUCKET = 32
+#: Texts of a large bucket, outside its largest group, that a round compares with all of it.
+CENTRES = 8
 _MULTIPLIERS = mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -229,15 +231,30 @@ def _verified(rows: DataFrame, texts: DataFrame, pairs: DataFrame, shingle: int,
     return materialize(both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "near-links")
 
 
+def _placed(many: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
+    """The members of buckets with their groups and that of most of the bucket; how many are outside that."""
+    placed = materialize(many.join(roots, "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("root")), "members")
+    sizes = placed.groupBy("band", "key", "root").agg(F.count("*").alias("n")).groupBy("band", "key").agg(F.max(F.struct("n", "root")).alias("x"))
+    placed = materialize(placed.join(materialize(sizes.select("band", "key", F.col("x.root").alias("home")), "homes"), ["band", "key"]), "placed")
+    return placed, placed.where("root <> home").count()
+
+
+def _across(some: DataFrame, placed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of some members and all of their buckets outside their groups."""
+    some = some.select("band", "key", F.col("node").alias("a"), F.col("root").alias("ra"))
+    return some.join(placed.select("band", "key", F.col("node").alias("b"), "root"), ["band", "key"]).where("ra <> root").select("a", "b")
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row per input row: doc_id, text_hash, component_id, in groups of texts linked by Jaccard similarity.
 
     64 SimHash bits can't tell 0.8 from less: such pairs differ in up to 19 bits, more than any pigeonring
     key bears. So fingerprints within three bits are candidates, and texts that share a band of min-hashes
     of the same shingles too; the shingle sets of each candidate pair are then compared. Texts with the
-    same words are one node. In a large bucket each text is compared with the smallest; texts that are not
-    in that one's group are then compared with all of the bucket outside their own group, so that no
-    link between groups is lost and a group of near copies isn't expanded into its pairs. A text without
+    same words are one node. In a large bucket each text is compared with the smallest; then, as long as that halves
+    the texts outside the bucket's largest group, a few of those are compared with all of the bucket; then all that
+    are left, with all of the bucket outside their own group. So no link between groups is lost and a group
+    of near copies isn't expanded into its pairs. A text without
     words is linked to nothing else. component_id is the smallest id of the group (null ids don't count)."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("th", F.hash("text"))
     each = materialize(rows.mapInArrow(_sign(shingle), "id bigint, th int, node bigint, fp bigint, bands array<bigint>"), "signatures")
@@ -255,13 +272,15 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     good = _verified(rows, texts, stars.union(across).union(pairs).union(many.select(F.col("node").alias("a"), F.col("c").alias("b"))), shingle, similarity)
     roots = components(good, "a", "b")
     if not many.isEmpty():
-        placed = many.join(roots, "node", "left").select("band", "key", "node", "c", F.coalesce("root", "node").alias("root"))
-        homes = placed.where("node = c").select("band", "key", F.col("root").alias("home"))
-        placed = materialize(placed.join(homes, ["band", "key"]), "placed")
-        apart = placed.where("root <> home").select("band", "key", F.col("node").alias("a"), F.col("root").alias("ra"))
-        more = apart.join(placed.select("band", "key", F.col("node").alias("b"), "root"), ["band", "key"]).where("ra <> root").select("a", "b")
-        good = good.union(_verified(rows, texts, more, shingle, similarity))
-        roots = components(good, "a", "b")
+        before, placed, outside = None, *_placed(many, roots)
+        while outside and (before is None or outside < before / 2):  # while some texts of each bucket draw most others in
+            some = placed.where("root <> home").groupBy("band", "key", F.pmod(F.hash("node"), F.lit(CENTRES)).alias("i")).agg(F.min(F.struct("node", "root")).alias("x"))
+            good = good.union(_verified(rows, texts, _across(some.select("band", "key", "x.node", "x.root"), placed), shingle, similarity))
+            roots = components(good, "a", "b")
+            before, (placed, outside) = outside, _placed(many, roots)
+        if outside:
+            good = good.union(_verified(rows, texts, _across(placed.where("root <> home"), placed), shingle, similarity))
+            roots = components(good, "a", "b")
     rooted = materialize(texts.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "rooted")
     least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least-ids")
     classes = rooted.join(least, "root").select("node", "component_id")
