@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 from .common import Slots, crc_mod, fold, materialize, mix, pieces, table, text_bytes, word_hashes, words
 
 #: Words whose counts are broadcast; words of the network; its classes of own words and of others; its state.
-HEAD_WORDS, OWN_WORDS, CLASSES, TAIL, HIDDEN = 1 << 19, 4096, 40, 64, 24
+HEAD_WORDS, OWN_WORDS, CLASSES, TAIL, HIDDEN = 1 << 19, 4096, 28, 64, 24
 #: Rounds of the fit, each on its own share of the training texts; lanes and steps of a window, the rate at all lanes, and the
 #: windows over which a copy reaches it; windows of a lane at least, fewer lanes being taken for fewer tokens.
-ROUNDS, LANES, STEPS, RATE, WARM, LANE_WINDOWS = 4, 288, 24, 0.014, 16, 16
+ROUNDS, LANES, STEPS, RATE, WARM, LANE_WINDOWS = 4, 384, 24, 0.016, 16, 16
 #: Tokens that a task of the fit has at least where there are so many (a copy of the network is about as large as
 #: half of them), tokens that it holds at a time, and numbers of a row in which a copy is passed on.
 TASK_TOKENS, BLOCK_TOKENS, CHUNK = 2_000_000, 1 << 20, 1 << 13
