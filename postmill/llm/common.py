@@ -41,10 +41,26 @@ def row_keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return materialize(rows.select(F.monotonically_increasing_id().alias("key"), "id", "text"), "keyed-rows")
 
 
-def without(docs: DataFrame, dropped: DataFrame, id_col: str, differs) -> DataFrame:
-    """docs but for the rows of `dropped` (drop_id and what `differs` looks at): same id, null included, and not differs."""
-    dropped = materialize(dropped.distinct(), "dropped")
-    return docs.join(small(dropped, dropped.count(), DROP_IDS), F.col(id_col).cast("bigint").eqNullSafe(F.col("drop_id")) & ~differs, "left_anti")
+def without(docs: DataFrame, dropped: DataFrame, id_col: str, same, other: str) -> DataFrame:
+    """docs but for the rows of `dropped` (id, null included, and other): same id, and `same`, an expression of docs, equal to other.
+
+    Columns of docs may have any name: the joined ones get names that docs doesn't have."""
+    mine, theirs = (free_name(docs, f"drop_{x}") for x in ("id", "other"))
+    dropped = materialize(dropped.select(F.col("drop_id").alias(mine), F.col(other).alias(theirs)).distinct(), "dropped")
+    return docs.join(small(dropped, dropped.count(), DROP_IDS), docs[id_col].cast("bigint").eqNullSafe(dropped[mine]) & (same == dropped[theirs]), "left_anti")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores behind it as it takes to be no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def text_hash(text_col: str):
+    """64 bits that tell apart texts which share an id."""
+    return F.xxhash64(F.col(text_col).cast("string"))
 
 
 def ascii_lower(col):

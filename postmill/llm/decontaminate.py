@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_BASE, fold, mix, pieces, table, text_bytes, without, word_hashes, words
+from .common import WORD_BASE, fold, mix, pieces, table, text_bytes, text_hash, without, word_hashes, words
 
 #: Positions that each mask looks at (fixed values, found by a greedy cover). Items of 13 words or more: any 13 to 25
 #: words with up to a fifth of them changed keep one placement of one mask; a longer overlap holds a part of such a
@@ -100,7 +100,7 @@ def best_overlap(item: np.ndarray, doc: np.ndarray, shift: int, similarity: floa
     return a + shift + start, end + need - start, int(same[start : end + need].sum())
 
 
-_FOUND = "doc_id bigint, th int, item_id bigint, start bigint, n_words bigint, n_same bigint"
+_FOUND = "doc_id bigint, th bigint, item_id bigint, start bigint, n_words bigint, n_same bigint"
 
 
 def _search(index, item_ids: list[int], least: int, similarity: float):
@@ -139,7 +139,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     itself. The benchmark is searched in slices of SLICE_WORDS words, each against all texts; only one
     slice is held at a time by a worker."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("th", F.hash("text"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("th", text_hash("text"))
     items = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL").orderBy("item_id", "text")
     slices, held, size = [], [], 0
     for row in items.toLocalIterator():
@@ -159,8 +159,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs without the rows whose text overlaps a benchmark item."""
     found = contaminated(docs, benchmark, id_col, text_col, **how)
-    gone = found.select(F.col("doc_id").alias("drop_id"), F.col("th").alias("drop_hash"))
-    return without(docs, gone, id_col, F.hash(F.col(text_col).cast("string")) != F.col("drop_hash"))
+    gone = found.select(F.col("doc_id").alias("drop_id"), "th")
+    return without(docs, gone, id_col, text_hash(text_col), "th")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, ascii_lower, materialize, small, table, without
+from .common import LOWER, UPPER, ascii_lower, free_name, materialize, small, table, without
 
 #: Bits of a fingerprint; a clash only makes a suspect, which byte verification clears.
 BITS = 52
@@ -139,15 +139,16 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """docs with one row of each group of equal texts, that with the largest id; of rows that repeat an id too, one."""
     report = exact_dedup(docs, id_col, text_col, **how)
     report = materialize(report.where("NOT kept"), "exact-dropped")
-    gone = report.where("NOT keep_id <=> doc_id").select(F.col("doc_id").alias("drop_id"), F.col("text_sha256").alias("drop_sha"))
+    gone = report.where("NOT keep_id <=> doc_id").select(F.col("doc_id").alias("drop_id"), "text_sha256")
     sha = F.sha2(ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), 256)
-    left = without(docs, gone, id_col, sha != F.col("drop_sha"))
-    repeated = report.where("keep_id <=> doc_id").select(F.col("doc_id").alias("drop_id"), F.col("text_sha256").alias("drop_sha"))
+    left = without(docs, gone, id_col, sha, "text_sha256")
+    repeated = report.where("keep_id <=> doc_id")
     if repeated.isEmpty():
         return left
-    again = materialize(repeated.distinct(), "exact-repeated")
-    same = F.col(id_col).cast("bigint").eqNullSafe(F.col("drop_id")) & (sha == F.col("drop_sha"))
-    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "inner").dropDuplicates(["drop_id", "drop_sha"]).select(docs.columns))
+    mine, theirs = free_name(docs, "same_id"), free_name(docs, "same_sha")
+    again = materialize(repeated.select(F.col("doc_id").alias(mine), F.col("text_sha256").alias(theirs)).distinct(), "exact-repeated")
+    same = left[id_col].cast("bigint").eqNullSafe(again[mine]) & (sha == again[theirs])
+    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "inner").dropDuplicates([mine, theirs]).select(docs.columns))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

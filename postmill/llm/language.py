@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_LETTER, crc_mod, mix, pieces, table, text_bytes
+from .common import NO_LETTER, crc_mod, materialize, mix, pieces, table, text_bytes
 
 #: Positions of the filter (its size is fixed) and hashes of an n-gram.
 POSITIONS, HASHES = 1 << 20, 4
@@ -125,6 +125,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).withColumn("held_out", crc_mod("id", 3) == 1)
     counts = rows.where("NOT held_out AND lang IS NOT NULL AND text IS NOT NULL").select("text", "lang").mapInArrow(_count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = materialize(counts, "gram-counts")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     share = counts.join(F.broadcast(totals), "lang").withColumn("share", F.col("n") / F.col("total")).where(F.col("share") >= LEAST_SHARE)  # one row for each language
     top = share.groupBy("gram").agg(F.max("share").alias("top"))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DROP_IDS, WORD_BASE, Rolling, compact, fold, materialize, mix, pieces, small, table, text_bytes, without, word_hashes, words
+from .common import DROP_IDS, WORD_BASE, Rolling, compact, fold, materialize, mix, pieces, small, table, text_bytes, text_hash, without, word_hashes, words
 from .components import components
 
 SEED = 42
@@ -155,8 +155,8 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     word, or null: fingerprint zero, linked like any other). component_id is the smallest id that can be
     reached by links of `distance` or fewer bits; null ids don't count for it. Equal fingerprints are
     one node, so copies of any number cost one. An empty table gives an empty result."""
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("th", F.hash("text"))
-    each = materialize(rows.mapInArrow(_fingerprint(shingle), "id bigint, th int, fp bigint"), "simhash")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("th", text_hash("text"))
+    each = materialize(rows.mapInArrow(_fingerprint(shingle), "id bigint, th bigint, fp bigint"), "simhash")
     nodes = materialize(each.groupBy("fp").agg(F.min("id").alias("least")), "simhash-nodes")
     roots = components(fingerprint_links(nodes.select("fp"), distance), "fp", "gp")
     rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -256,8 +256,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are left, with all of the bucket outside their own group. So no link between groups is lost and a group
     of near copies isn't expanded into its pairs. A text without
     words is linked to nothing else. component_id is the smallest id of the group (null ids don't count)."""
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("th", F.hash("text"))
-    each = materialize(rows.mapInArrow(_sign(shingle), "id bigint, th int, node bigint, fp bigint, bands array<bigint>"), "signatures")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("th", text_hash("text"))
+    each = materialize(rows.mapInArrow(_sign(shingle), "id bigint, th bigint, node bigint, fp bigint, bands array<bigint>"), "signatures")
     texts = materialize(each.groupBy("node").agg(F.min(F.struct("id", "th")).alias("one"), F.min("id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "signature-nodes")
     some = texts.where(F.size("bands") > 0)
     centre = materialize(some.groupBy("fp").agg(F.min("node").alias("node")), "fingerprint-nodes")
@@ -292,8 +292,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     A row without an id goes if its group has an id, and stays otherwise."""
     report = similar_groups(docs, id_col, text_col, **how)
-    gone = report.where("component_id IS NOT NULL AND NOT doc_id <=> component_id").select(F.col("doc_id").alias("drop_id"), F.col("text_hash").alias("drop_hash"))
-    return without(docs, gone, id_col, F.hash(F.col(text_col).cast("string")) != F.col("drop_hash"))
+    gone = report.where("component_id IS NOT NULL AND NOT doc_id <=> component_id").select(F.col("doc_id").alias("drop_id"), "text_hash")
+    return without(docs, gone, id_col, text_hash(text_col), "text_hash")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,11 +74,9 @@ def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for r, toxic in enumerate(classes):
                 for word in {blob[a:b] for a, b in zip(starts[at[r] : at[r + 1]].tolist(), ends[at[r] : at[r + 1]].tolist(), strict=True) if 2 < b - a < 40}:
                     counts.setdefault(word, [0, 0])[toxic] += 1
-    keys = [w for w in counts if counts[w][1]]
-    if keys:
-        yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in keys]), pa.array([counts[w][0] for w in keys]), pa.array([counts[w][1] for w in keys])], ["word", "clean", "toxic"])
-    rest = sum(v[0] for v in counts.values() if not v[1])
-    yield pa.RecordBatch.from_arrays([pa.array([""]), pa.array([rest]), pa.array([0])], ["word", "clean", "toxic"])
+    if counts:
+        clean, toxic = zip(*counts.values(), strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in counts]), pa.array(clean, pa.int64()), pa.array(toxic, pa.int64())], ["word", "clean", "toxic"])
 
 
 def _votes(lexicon: list[str], strong: int):
