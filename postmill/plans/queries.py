@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, money, text, urls
 from ..operators import convo, matching, merge, parsing, plan, ranking, tables, tasks, windows
 from ..sources import jsonld, robots
+from ..storage import shared_dir
 from ..streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,9 +33,8 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new folder in the one that executors share; a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='postmill-')}"
-    return f"{base.rstrip('/')}/postmill-streams/{uuid.uuid4().hex}"
+    """A folder of its own for each call, where all executors see it."""
+    return f"{shared_dir(spark)}/postmill/{uuid.uuid4().hex}"
 
 
 #: Words of part names as a vocabulary.
