@@ -16,12 +16,24 @@ from postmill.llm.packing import pack_documents
 from postmill.llm.simhash import drop_near_duplicates
 from postmill.llm.toxicity import drop_toxic
 
+#: Rows of a batch that executors hand to Python workers, at most: whole texts are long, and both sides hold a batch.
+BATCH_ROWS = 500
+
+
+def _batched(stage):
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("toxicity", lambda spark, docs, sf_dir: drop_toxic(docs, table(spark, sf_dir, "labels"))),
-    ("exact dedup", lambda spark, docs, sf_dir: drop_duplicates(docs)),
-    ("near dedup", lambda spark, docs, sf_dir: drop_near_duplicates(docs)),
-    ("decontamination", lambda spark, docs, sf_dir: drop_contaminated(docs, table(spark, sf_dir, "benchmark"))),
-    ("packing", lambda spark, docs, sf_dir: pack_documents(docs, release=True)),
+    ("toxicity", _batched(lambda spark, docs, sf_dir: drop_toxic(docs, table(spark, sf_dir, "labels")))),
+    ("exact dedup", _batched(lambda spark, docs, sf_dir: drop_duplicates(docs))),
+    ("near dedup", _batched(lambda spark, docs, sf_dir: drop_near_duplicates(docs))),
+    ("decontamination", _batched(lambda spark, docs, sf_dir: drop_contaminated(docs, table(spark, sf_dir, "benchmark")))),
+    ("packing", _batched(lambda spark, docs, sf_dir: pack_documents(docs, release=True))),
 ]
 
 #: No stage after the fitted classifier can be told by SQL; tests compare with a brute-force version.
