@@ -167,7 +167,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 #: Min-hash bands and their rows: texts of Jaccard similarity s share a band with probability 1 - (1 - s**5)**24.
 BANDS, BAND_ROWS = 24, 5
-#: A band's bucket of up to this many texts is compared pair by pair; a larger one by stars and rounds.
+#: In a band's bucket of more texts a few of them are compared with all others, round by round, before the rest is.
 BAND_BUCKET = 32
 #: Texts of a large bucket, outside its largest group, that a round compares with all of it.
 CENTRES = 8
@@ -239,6 +239,13 @@ def _placed(many: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
     return placed, placed.where("root <> home").count()
 
 
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those pairs (a, b) that aren't in one group yet."""
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.where("NOT root_a <=> root_b OR root_a IS NULL").select("a", "b")
+
+
 def _across(some: DataFrame, placed: DataFrame) -> DataFrame:
     """Pairs (a, b) of some members and all of their buckets outside their groups."""
     some = some.select("band", "key", F.col("node").alias("a"), F.col("root").alias("ra"))
@@ -251,10 +258,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     64 SimHash bits can't tell 0.8 from less: such pairs differ in up to 19 bits, more than any pigeonring
     key bears. So fingerprints within three bits are candidates, and texts that share a band of min-hashes
     of the same shingles too; the shingle sets of each candidate pair are then compared. Texts with the
-    same words are one node. In a large bucket each text is compared with the smallest; then, as long as that halves
-    the texts outside the bucket's largest group, a few of those are compared with all of the bucket; then all that
-    are left, with all of the bucket outside their own group. So no link between groups is lost and a group
-    of near copies isn't expanded into its pairs. A text without
+    same words are one node. In each bucket every text is compared with the smallest; in a large one, as long as that
+    halves the texts outside the bucket's largest group, a few of those are compared with all of the bucket; then all
+    that are left outside, with all of the bucket outside their own group. So no link between groups is lost and a
+    group of near copies isn't expanded into its pairs. A text without
     words is linked to nothing else. component_id is the smallest id of the group (null ids don't count)."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("th", text_hash("text"))
     each = materialize(rows.mapInArrow(_sign(shingle), "id bigint, th bigint, node bigint, fp bigint, bands array<bigint>"), "signatures")
@@ -267,20 +274,20 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = some.select("node", F.posexplode("bands").alias("band", "key"))
     sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("c")).where("n > 1")
     shared = materialize(keyed.join(materialize(sizes, "band-sizes"), ["band", "key"]), "band-buckets")
-    few, many = shared.where(f"n <= {BAND_BUCKET}"), shared.where(f"n > {BAND_BUCKET}")
-    pairs = few.select("band", "key", F.col("node").alias("a")).join(few.select("band", "key", F.col("node").alias("b")), ["band", "key"]).where("a < b").select("a", "b")
-    good = _verified(rows, texts, stars.union(across).union(pairs).union(many.select(F.col("node").alias("a"), F.col("c").alias("b"))), shingle, similarity)
+    good = _verified(rows, texts, stars.union(shared.select(F.col("node").alias("a"), F.col("c").alias("b"))), shingle, similarity)
+    roots = components(good, "a", "b")
+    large, before, outside = shared.where(f"n > {BAND_BUCKET}"), None, 0
+    if not large.isEmpty():
+        placed, outside = _placed(large, roots)
+    while outside and (before is None or outside < before / 2):  # while some texts of each bucket draw most others in
+        some = placed.where("root <> home").groupBy("band", "key", F.pmod(F.hash("node"), F.lit(CENTRES)).alias("i")).agg(F.min(F.struct("node", "root")).alias("x"))
+        good = good.union(_verified(rows, texts, _across(some.select("band", "key", "x.node", "x.root"), placed), shingle, similarity))
+        roots = components(good, "a", "b")
+        before, (placed, outside) = outside, _placed(large, roots)
+    placed, _ = _placed(shared.where("n > 2"), roots)
+    left = _across(placed.where("root <> home"), placed).union(_apart(across, roots))
+    good = good.union(_verified(rows, texts, left, shingle, similarity))
     roots = components(good, "a", "b")
-    if not many.isEmpty():
-        before, placed, outside = None, *_placed(many, roots)
-        while outside and (before is None or outside < before / 2):  # while some texts of each bucket draw most others in
-            some = placed.where("root <> home").groupBy("band", "key", F.pmod(F.hash("node"), F.lit(CENTRES)).alias("i")).agg(F.min(F.struct("node", "root")).alias("x"))
-            good = good.union(_verified(rows, texts, _across(some.select("band", "key", "x.node", "x.root"), placed), shingle, similarity))
-            roots = components(good, "a", "b")
-            before, (placed, outside) = outside, _placed(many, roots)
-        if outside:
-            good = good.union(_verified(rows, texts, _across(placed.where("root <> home"), placed), shingle, similarity))
-            roots = components(good, "a", "b")
     rooted = materialize(texts.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "rooted")
     least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least-ids")
     classes = rooted.join(least, "root").select("node", "component_id")
