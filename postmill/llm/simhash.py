@@ -104,8 +104,11 @@ def _buckets(members: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _pairs(members: DataFrame, keys: list[str], keep: str) -> DataFrame:
-    other = members.select(*keys, F.col("fp").alias("gp"))
-    return members.join(other, keys).where("fp < gp").where(keep).select("fp", "gp")
+    """Pairs within a bucket that pass keep; with a column root only those of different roots."""
+    grouped = "root" in members.columns
+    other = members.select(*keys, F.col("fp").alias("gp"), *([F.col("root").alias("other_root")] if grouped else []))
+    pairs = members.join(other, keys).where("fp < gp").where(keep)
+    return (pairs.where("root <> other_root") if grouped else pairs).select("fp", "gp")
 
 
 def fingerprint_links(prints: DataFrame, distance: int = 3) -> DataFrame:
@@ -115,9 +118,10 @@ def fingerprint_links(prints: DataFrame, distance: int = 3) -> DataFrame:
     bucket of more than BUCKET the bits beyond its key are cut into 4-bit parts, of which all but
     `distance` must agree: finer buckets, with 4 * distance free bits. One that is still large isn't
     expanded into pairs: members that agree but for the same `distance` free bits are all linked to the
-    smallest of them. No bucket is cut short."""
+    smallest of them. No bucket is cut short. If prints has a column root, links within a root aren't looked for."""
     masks = chain_masks(distance)
-    keyed = prints.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("slot"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("key")) for i, (_, mask, _) in enumerate(masks)])).alias("x")).select("fp", "x.slot", "x.key")
+    known = ["root"] if "root" in prints.columns else []
+    keyed = prints.select("fp", *known, F.explode(F.array(*[F.struct(F.lit(i).alias("slot"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("key")) for i, (_, mask, _) in enumerate(masks)])).alias("x")).select("fp", *known, "x.slot", "x.key")
     shared = materialize(_buckets(keyed, ["slot", "key"]), "buckets")
     differ = "bit_count(fp ^ gp)"
     budgets = " ".join(f"WHEN {i} THEN " + " AND ".join(f"bit_count((fp ^ gp) & {_signed(m)}) <= {b}" for m, b in chain if b < distance) for i, (_, _, chain) in enumerate(masks)) if distance else ""
@@ -131,7 +135,7 @@ def fingerprint_links(prints: DataFrame, distance: int = 3) -> DataFrame:
         free = [p for p in range(16) if not (mask >> (4 * p)) & 15]
         finer += [(i, mask | _bits([p for p in free if p not in out], 4)) for out in combinations(free, distance)]
     table = F.create_map(*[x for i in range(len(masks)) for x in (F.lit(i), F.array(*[F.lit(_signed(m)) for j, m in finer if j == i]))])
-    fine = large.select("fp", "slot", F.explode(table[F.col("slot")]).alias("mask")).select("fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("part"))
+    fine = large.select("fp", *known, "slot", F.explode(table[F.col("slot")]).alias("mask")).select("fp", *known, "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("part"))
     fine = materialize(_buckets(fine.distinct(), ["mask", "part"]), "buckets-fine")
     links = links.union(_pairs(fine.where(f"n <= {BUCKET}"), ["mask", "part"], f"{differ} <= {distance}"))
     dense = fine.where(f"n > {BUCKET}")
@@ -193,17 +197,19 @@ def _sign(shingle: int):
             for piece in pieces(batch):
                 hashes, cuts, node = _shingles(piece, shingle)
                 full = np.flatnonzero(np.diff(cuts))
-                keys = np.zeros((len(full), BANDS), np.uint64)
+                keys, signs = np.zeros((len(full), BANDS), np.uint64), np.zeros((len(node), 4), np.uint64)
                 for band in range(BANDS if len(full) else 0):
                     for row in range(BAND_ROWS):
                         low = np.minimum.reduceat(hashes * _MULTIPLIERS[band * BAND_ROWS + row], cuts[:-1][full])
                         keys[:, band] = mix(keys[:, band] + low)
+                        at = band * BAND_ROWS + row
+                        signs[full, at // 32] |= (mix(low) >> np.uint64(62)) << np.uint64(2 * (at % 32))
                 bands: list = [[] for _ in node]
                 for r, k in zip(full.tolist(), keys.view(np.int64).tolist(), strict=True):
                     bands[r] = k
                 prints = majority_bits(hashes, cuts)
-                cols = [piece.column("id"), piece.column("th"), pa.array(node.view(np.int64)), pa.array(prints.view(np.int64)), pa.array(bands, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, ["id", "th", "node", "fp", "bands"])
+                cols = [piece.column("id"), piece.column("th"), pa.array(node.view(np.int64)), pa.array(prints.view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(signs.view(np.int64).tolist(), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, ["id", "th", "node", "fp", "bands", "signs"])
 
     return run
 
@@ -233,23 +239,27 @@ def _verified(rows: DataFrame, texts: DataFrame, pairs: DataFrame, shingle: int,
 
 def _placed(many: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
     """The members of buckets with their groups and that of most of the bucket; how many are outside that."""
-    placed = materialize(many.join(roots, "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("root")), "members")
+    placed = materialize(many.join(roots, "node", "left").select("band", "key", "node", "signs", F.coalesce("root", "node").alias("root")), "members")
     sizes = placed.groupBy("band", "key", "root").agg(F.count("*").alias("n")).groupBy("band", "key").agg(F.max(F.struct("n", "root")).alias("x"))
     placed = materialize(placed.join(materialize(sizes.select("band", "key", F.col("x.root").alias("home")), "homes"), ["band", "key"]), "placed")
     return placed, placed.where("root <> home").count()
 
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Those pairs (a, b) that aren't in one group yet."""
-    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return both.where("NOT root_a <=> root_b OR root_a IS NULL").select("a", "b")
+def _across(some: DataFrame, placed: DataFrame, budget: int) -> DataFrame:
+    """Pairs (a, b) of some members and all of their buckets outside their groups, with at most `budget` signs that differ."""
+    some = some.select("band", "key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("signs").alias("sa"))
+    both = some.join(placed.select("band", "key", F.col("node").alias("b"), "root", "signs"), ["band", "key"])
+    differ = " + ".join(f"bit_count(((sa[{i}] ^ signs[{i}]) | shiftrightunsigned(sa[{i}] ^ signs[{i}], 1)) & {0x5555555555555555}L)" for i in range(4))
+    return both.where(f"ra <> root AND {differ} <= {budget}").select("a", "b")
 
 
-def _across(some: DataFrame, placed: DataFrame) -> DataFrame:
-    """Pairs (a, b) of some members and all of their buckets outside their groups."""
-    some = some.select("band", "key", F.col("node").alias("a"), F.col("root").alias("ra"))
-    return some.join(placed.select("band", "key", F.col("node").alias("b"), "root"), ["band", "key"]).where("ra <> root").select("a", "b")
+def sign_budget(similarity: float) -> int:
+    """Of the BANDS * BAND_ROWS two-bit signs of min-hashes, how many may differ in a pair that is still compared.
+
+    Each differs with probability 0.75 * (1 - similarity); five deviations above the mean, so that a pair at
+    that similarity is passed over with a probability of a few in a million."""
+    n, p = BANDS * BAND_ROWS, 0.75 * (1 - similarity)
+    return int(np.ceil(n * p + 5 * (n * p * (1 - p)) ** 0.5))
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -264,28 +274,30 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     group of near copies isn't expanded into its pairs. A text without
     words is linked to nothing else. component_id is the smallest id of the group (null ids don't count)."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("th", text_hash("text"))
-    each = materialize(rows.mapInArrow(_sign(shingle), "id bigint, th bigint, node bigint, fp bigint, bands array<bigint>"), "signatures")
-    texts = materialize(each.groupBy("node").agg(F.min(F.struct("id", "th")).alias("one"), F.min("id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "signature-nodes")
+    each = materialize(rows.mapInArrow(_sign(shingle), "id bigint, th bigint, node bigint, fp bigint, bands array<bigint>, signs array<bigint>"), "signatures")
+    texts = materialize(each.groupBy("node").agg(F.min(F.struct("id", "th")).alias("one"), F.min("id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("signs").alias("signs")), "signature-nodes")
     some = texts.where(F.size("bands") > 0)
     centre = materialize(some.groupBy("fp").agg(F.min("node").alias("node")), "fingerprint-nodes")
     stars = some.join(centre.withColumnRenamed("node", "c"), "fp").select(F.col("node").alias("a"), F.col("c").alias("b"))
-    links = fingerprint_links(centre.select("fp"))
-    across = links.join(centre.select("fp", F.col("node").alias("a")), "fp").join(centre.select(F.col("fp").alias("gp"), F.col("node").alias("b")), "gp").select("a", "b")
-    keyed = some.select("node", F.posexplode("bands").alias("band", "key"))
+    keyed = some.select("node", "signs", F.posexplode("bands").alias("band", "key"))
     sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("c")).where("n > 1")
     shared = materialize(keyed.join(materialize(sizes, "band-sizes"), ["band", "key"]), "band-buckets")
     good = _verified(rows, texts, stars.union(shared.select(F.col("node").alias("a"), F.col("c").alias("b"))), shingle, similarity)
     roots = components(good, "a", "b")
+    budget = sign_budget(similarity)
     large, before, outside = shared.where(f"n > {BAND_BUCKET}"), None, 0
     if not large.isEmpty():
         placed, outside = _placed(large, roots)
     while outside and (before is None or outside < before / 2):  # while some texts of each bucket draw most others in
-        some = placed.where("root <> home").groupBy("band", "key", F.pmod(F.hash("node"), F.lit(CENTRES)).alias("i")).agg(F.min(F.struct("node", "root")).alias("x"))
-        good = good.union(_verified(rows, texts, _across(some.select("band", "key", "x.node", "x.root"), placed), shingle, similarity))
+        some = placed.where("root <> home").groupBy("band", "key", F.pmod(F.hash("node"), F.lit(CENTRES)).alias("i")).agg(F.min(F.struct("node", "root", "signs")).alias("x"))
+        good = good.union(_verified(rows, texts, _across(some.select("band", "key", "x.node", "x.root", "x.signs"), placed, budget), shingle, similarity))
         roots = components(good, "a", "b")
         before, (placed, outside) = outside, _placed(large, roots)
     placed, _ = _placed(shared.where("n > 2"), roots)
-    left = _across(placed.where("root <> home"), placed).union(_apart(across, roots))
+    prints = materialize(centre.join(roots, "node", "left").select("fp", "node", F.coalesce("root", "node").alias("root")), "fingerprint-roots")
+    links = fingerprint_links(prints.select("fp", "root"))
+    near = links.join(prints.select("fp", F.col("node").alias("a")), "fp").join(prints.select(F.col("fp").alias("gp"), F.col("node").alias("b")), "gp").select("a", "b")
+    left = _across(placed.where("root <> home"), placed, budget).union(near)
     good = good.union(_verified(rows, texts, left, shingle, similarity))
     roots = components(good, "a", "b")
     rooted = materialize(texts.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "rooted")
