@@ -1,6 +1,6 @@
 """The queries of the training-data operators, and their SQL where SQL can express them."""
 
-from . import decontaminate, exact_dedup, fill_in_middle, filter_audit, language, language_model, packing, simhash, substring_dedup, token_files, toxicity, url_filter
+from . import decontaminate, embedding_dedup, exact_dedup, fill_in_middle, filter_audit, language, language_model, packing, simhash, substring_dedup, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_embedding_dedup": embedding_dedup.op11_embedding_dedup,
     "op12_filter_audit": filter_audit.op12_filter_audit,
     "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
 }
