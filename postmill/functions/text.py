@@ -79,10 +79,30 @@ def mentions_any(text: Column, terms: list[str]) -> Column:
     return out
 
 
+def bound(value: Column, f) -> Column:
+    """f(value), with the value taken once: an expression that a lambda names is otherwise taken again for each element."""
+    return F.transform(F.array(value), f)[0]
+
+
 def tags(text: Column, vocabulary: dict[str, list[str]]) -> Column:
-    """The tags of which any term is mentioned, in the vocabulary's order."""
+    """The tags of which any term is mentioned, in the vocabulary's order; terms of letters are all found in one pass."""
     text = F.coalesce(text, F.lit(""))
-    return F.array_compact(F.array(*[F.when(mentions_any(text, terms), F.lit(tag)) for tag, terms in vocabulary.items()]))
+    letters = {t: bool(re.fullmatch(r"[a-zA-Z]+", t)) for terms in vocabulary.values() for t in terms}
+    words = sorted({t.lower() for t, plain in letters.items() if plain})
+    pattern = f"(?i)(?<![a-zA-Z])({'|'.join(words)})(?![a-zA-Z])"
+    found = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), 1), F.lower)) if words else F.array().cast("array<string>")
+
+    def of(x: Column) -> Column:
+        each = []
+        for tag, terms in vocabulary.items():
+            own = [t.lower() for t in terms if letters[t]]
+            test = F.arrays_overlap(x["found"], F.array(*map(F.lit, own))) if own else F.lit(False)
+            for t in terms:
+                test = test if letters[t] else test | x["low"].contains(t.lower())
+            each.append(F.when(test, F.lit(tag)))
+        return F.array_compact(F.array(*each))
+
+    return bound(F.struct(found.alias("found"), F.lower(text).alias("low")), of)
 
 
 def quote_for(text: Column, terms: list[str]) -> Column:

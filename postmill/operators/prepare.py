@@ -25,8 +25,8 @@ def _filled(template: Column, values: dict[str, Column]) -> Column:
     return template
 
 
-def questions(postings: DataFrame, id_col: str, topics: Column, target: int = 40_000) -> DataFrame:
-    """Six rows a posting (id, audience, priority, question, purpose); what is unknown is told so."""
+def question_array(topics: Column, target: int = 40_000) -> Column:
+    """The six questions on a posting (audience, priority, question, purpose); what is unknown is told so."""
     named = lambda c, other: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(other))
     values = {
         "salary": named("salary_raw", "未披露"),
@@ -35,8 +35,12 @@ def questions(postings: DataFrame, id_col: str, topics: Column, target: int = 40
         "topics": F.coalesce(F.nullif(F.array_join(F.slice(topics, 1, 3), ", "), F.lit("")), F.lit("相关算法")),
         "target": F.lit(f"{target:,}"),
     }
-    rows = F.array(*[F.struct(F.lit(a).alias("audience"), F.lit(p).alias("priority"), _filled(F.lit(t), values).alias("question"), _filled(F.lit(w), values).alias("purpose")) for a, p, t, w in QUESTIONS])
-    return postings.select(id_col, F.explode(rows).alias("q")).select(id_col, "q.*")
+    return F.array(*[F.struct(F.lit(a).alias("audience"), F.lit(p).alias("priority"), _filled(F.lit(t), values).alias("question"), _filled(F.lit(w), values).alias("purpose")) for a, p, t, w in QUESTIONS])
+
+
+def questions(postings: DataFrame, id_col: str, topics: Column, target: int = 40_000) -> DataFrame:
+    """Six rows a posting (id, audience, priority, question, purpose)."""
+    return postings.select(id_col, F.explode(question_array(topics, target)).alias("q")).select(id_col, "q.*")
 
 
 def tailored(profiles: DataFrame, wanted: Column, tags_of) -> DataFrame:
