@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import normal_form
+
 #: Input limits of an import (fixed values).
 LIMITS = {"text": 100_000, "urls": 12_000, "links": 5, "files": 6, "images": 2, "bytes": 36_000_000}
 
@@ -43,16 +45,30 @@ def alive(expires: Column, now: Column) -> Column:
     return F.coalesce(expires > now, F.lit(False))
 
 
+#: Times of day of ISO 8601 in basic and extended form, and offsets.
+_CLOCK = r"(?:(?:[01]\d|2[0-3])(?:(?::[0-5]\d(?::[0-5]\d(?:[.,]\d+)?)?)|(?:[0-5]\d(?:[0-5]\d(?:[.,]\d+)?)?))?)"
+_OFFSET = r"(?:Z|[+-](?:[01]\d|2[0-3])(?::?[0-5]\d(?::?[0-5]\d(?:\.\d+)?)?)?)?"
+
+
 def iso_date(text: Column, unknown: str) -> Column:
-    """Text of an ISO date or time, Z accepted; '' for unknown, null for what isn't one."""
+    """Text of an ISO date or time, Z accepted; '' for unknown, null for what isn't one.
+
+    Calendar dates, week dates and basic forms count, as do hours alone; a time has a real hour, minute and second. Any one character may stand between
+    date and time. The text is kept as it is, but for white space around it."""
     plain = F.trim(F.coalesce(text, F.lit("")))
-    valid = plain.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$") & F.try_to_timestamp(F.substring(plain, 1, 10), F.lit("yyyy-MM-dd")).isNotNull()
-    return F.when((plain == "") | (plain == unknown), "").when(valid, plain)
+    of = lambda i: F.regexp_extract(plain, rf"^(\d{{4}})(-?)(?:(\d\d)\2(\d\d)|W(\d\d)(?:\2([1-7]))?)(?:[\s\S]{_CLOCK}{_OFFSET})?$", i)
+    day = F.try_to_date(F.concat_ws("-", of(1), of(3), of(4)), "yyyy-MM-dd")
+    year, week = of(1).cast("int"), of(5).cast("int")
+    last = F.weekofyear(F.make_date(year, F.lit(12), F.lit(28)))  # the 28th of December is in the last week
+    valid = F.when(of(5) != "", (week >= 1) & (week <= last) & (year > 0)).otherwise(day.isNotNull() & (year > 0))
+    return F.when((plain == "") | (plain == unknown), "").when(F.coalesce(valid, F.lit(False)), plain)
 
 
 def identity(parts: list[Column], unknown: list[str], sample: Column | None = None) -> Column:
-    """SHA-256 of the normalised parts joined by |, null if one isn't known; samples have a prefix of their own."""
-    plain = [F.lower(F.trim(F.regexp_replace(F.coalesce(p, F.lit("")), r"\s+", " "))) for p in parts]
+    """SHA-256 of the normalised parts joined by |, null if one isn't known; samples have a prefix of their own.
+
+    Parts are compared in NFKC form, case-folded, without white space."""
+    plain = [normal_form(p) for p in parts]
     known = F.lit(True)
     for p in plain:
         known = known & ~p.isin("", *unknown)

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
 from ..functions.dates import published_date
-from ..functions.text import lines, tags
+from ..functions.text import bound, lines, tags
 from .matching import FACTS
-from .windows import merge_lines
+from .windows import context_frame, merge_lines
 
 #: Wordings (fixed values).
 LABELS = {
@@ -148,7 +148,7 @@ def html_blocks(markup: pd.Series) -> pd.Series:
 
 #: Complete headings of sections (fixed values).
 DUTY_HEADS = "(?:key |core |your |primary )?(?:responsibilities|duties)|essential duties(?: and responsibilities)?|what (?:you['’]ll|you will) (?:do|be doing)|the role|about (?:the|this) role|岗位职责|工作职责|职位职责|工作内容|职责"
-WANTED_HEADS = "(?:(?:minimum|required|basic|preferred|bonus|desired|additional|key|technical) )?(?:qualifications|requirements|skills)|what (?:you['’]ll|you will) bring|what we['’]re looking for|who you are|you (?:may be|might be) a good fit if|nice[- ]to[- ]haves?|bonus points|任职要求|任职资格|岗位要求|职位要求|加分项"
+WANTED_HEADS = "(?:(?:minimum|required|basic|preferred|bonus|desired|additional|key|technical) )?(?:qualifications|requirements|skills)|what (?:you['’]ll|you will) bring|what we['’]re looking for|who you are|you (?:may be|might be) a good fit if|nice[- ]to[- ]haves?|bonus points|任职要求|任职资格|岗位要求|职位要求|技能要求|基本要求|优先条件|加分项"
 STOP_HEADS = "(?:our |your )?(?:benefits|compensation|salary|perks)|compensation and benefits|about (?:us|the company)|why (?:join|work)|how to apply|application process|equal opportunity|公司介绍|关于我们|福利(?:待遇)?|薪资(?:待遇)?|薪酬(?:福利)?|投递方式|工作地点"
 
 
@@ -175,3 +175,36 @@ def degree_lines(rows: Column) -> Column:
 
 def experience_lines(rows: Column) -> Column:
     return F.array_distinct(F.filter(rows, lambda x: x.rlike(r"(?i)(?<![\p{L}\p{N}_])\d+(?:\.\d+)?\s*(?:\+|[-–—]\s*\d+)?\s*(?:years?|yrs?)(?![\p{L}\p{N}_]).{0,100}(?:experience|expertise|background)|experience\s*[:：]\s*\d+\+?\s*years?|\d+\s*(?:[-–—至]\s*\d+)?\s*年(?:以上)?[^\n。]{0,30}经验|经验不限")))
+
+
+#: Patterns of the facts that a board's lines tell (fixed values).
+QUALITATIVE = r"(?iU)\b(?:extensive|significant|proven|demonstrated)\s+(?:professional\s+|industry\s+)?experience\b"
+DEGREE_CUE = r"(?i)degree|学历|学位|及以上|要求|优先|需|preferred|required|equivalent"
+
+
+def board_facts(blocks: Column) -> Column:
+    """A struct of responsibilities, requirements, experience and education as texts, from blocks.
+
+    Experience and education are told by the lines of the requirements, else by any line: then words like "proven experience" don't count, and a
+    degree only next to a word that asks for it. Whole lines are kept, each once."""
+
+    def told(x: Column) -> Column:
+        wanted = x["requirements"]
+        some = F.size(wanted) > 0
+        from_ = F.when(some, wanted).otherwise(x["every"])
+        years = F.filter(from_, lambda line: F.array_contains(x["years"], line) | (some & line.rlike(QUALITATIVE)))
+        degrees = degree_lines(from_)
+        degrees = F.when(some, degrees).otherwise(F.filter(degrees, lambda line: line.rlike(DEGREE_CUE)))
+        text = lambda rows: F.array_join(rows, "\n")
+        return F.struct(text(x["duties"]).alias("responsibilities"), text(wanted).alias("requirements"), text(F.array_distinct(years)).alias("experience"), text(degrees).alias("education"))
+
+    every = F.transform(blocks, lambda b: b["text"])
+    sections = bound(blocks, board_sections)
+    return bound(F.struct(sections["duties"].alias("duties"), sections["requirements"].alias("requirements"), every.alias("every"), experience_lines(every).alias("years")), told)
+
+
+def pay_excerpt(content: Column) -> Column:
+    """The first line that names pay and an amount, with two lines before it and one behind; 未知 if there is none."""
+    names = r"(?i)salary|薪资|月薪|年薪|compensation range"
+    amount = r"[$￥¥€£]\s*\d|\d[\d,]*(?:\.\d+)?\s*[kK万]|\d[\d,]{3,}"
+    return F.coalesce(F.array_join(context_frame(content, lambda line: line.rlike(names) & line.rlike(amount)), "\n"), F.lit("未知"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import lines
+from ..functions.text import join_cjk, lines, nfkc, normal_form
 
 
 def line_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -13,20 +13,23 @@ def line_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col), F.posexplode(lines(F.col(text_col))).alias("pos", "line"))
 
 
-def first_lines(rows: DataFrame, id_col: str, pos: str = "pos", line: str = "line") -> DataFrame:
+def first_lines(rows: DataFrame, id_col: str, pos: str = "pos", line: str = "line", exact: bool = False) -> DataFrame:
     """Non-blank lines of each text, each only where it first occurs; white space and case don't count.
 
+    `exact` compares their NFKC forms, case-folded; else all is native, which is the same for ASCII texts.
     No fuzzy matching: lines that differ by a sign or a digit are different facts."""
-    key = F.lower(F.regexp_replace(F.col(line), r"(?U)\s+", ""))
+    key = normal_form(F.col(line), exact)
     rows = rows.withColumn("_key", key).where("_key <> ''")
     return rows.groupBy(id_col, "_key").agg(F.min(F.struct(F.col(pos).alias("pos"), F.col(line).alias("line"))).alias("x")).select(id_col, "x.pos", "x.line")
 
 
 def merge_lines(df: DataFrame, id_col: str, text_cols: list[str], out: str = "text") -> DataFrame:
-    """One text for each row from several: lines in order, repeated ones once."""
+    """One text for each row from several: lines in order, in NFKC form, without the white space between CJK characters, repeated ones once."""
     whole = F.array_join(F.array(*[F.coalesce(F.col(c), F.lit("")) for c in text_cols]), "\n")
-    kept = first_lines(line_rows(df.select(id_col, whole.alias("_t")), id_col, "_t"), id_col)
-    joined = kept.groupBy(id_col).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: F.trim(x["line"])), "\n").alias(out))
+    rows = line_rows(df.select(id_col, whole.alias("_t")), id_col, "_t")
+    rows = rows.withColumn("line", join_cjk(F.regexp_replace(nfkc(F.col("line")), r"(?U)^\s+|\s+$", "")))
+    kept = first_lines(rows, id_col, exact=True)
+    joined = kept.groupBy(id_col).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias(out))
     return df.select(id_col).join(joined, id_col, "left").select(id_col, F.coalesce(out, F.lit("")).alias(out))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.money import structured_salary
 from ..functions.text import field_text, known
 from ..functions.urls import safe_link, slug_ok
+from ..operators.parsing import board_facts, html_blocks, pay_excerpt
 
 #: kind -> reader of a table of payloads (source, status, payload).
 READERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
@@ -36,11 +37,15 @@ def base_posting(**fields: Column) -> list[Column]:
 
 @reader("board")
 def board(payloads: DataFrame) -> DataFrame:
-    """{jobs: [{title, location{name}, content, updated_at, absolute_url, metadata[{name, value}]}]}: an update isn't a publication."""
-    schema = "jobs array<struct<title:string,location:struct<name:string>,content:string,updated_at:string,absolute_url:string,metadata:array<struct<name:string,value:string>>>>"
+    """{jobs: [{title, location{name}, content, updated_at, first_published, absolute_url, metadata[{name, value}]}]}: an update isn't a publication.
+
+    Duties, requirements, experience and education come from the content's sections, pay from the metadata or else from the line that tells it."""
+    schema = "jobs array<struct<title:string,location:struct<name:string>,content:string,updated_at:string,first_published:string,absolute_url:string,metadata:array<struct<name:string,value:string>>>>"
     j = payloads.where("status = 200").select("source", "company", F.explode(F.from_json("payload", schema)["jobs"]).alias("j"))
-    pay = F.try_element_at(F.filter("j.metadata", lambda m: m["name"].rlike("(?i)salary|薪资") & m["value"].isNotNull()), F.lit(1))["value"]
-    return j.select("source", *base_posting(company=F.col("company"), title=F.col("j.title"), city=F.col("j.location.name"), salary_raw=pay, raw_text=field_text(F.col("j.content")), status_validity=F.lit("有效"), source_url=F.col("j.absolute_url")))
+    pay = F.try_element_at(F.filter("j.metadata", lambda m: m["name"].rlike("(?i)salary|薪资") & (F.coalesce(m["value"], F.lit("")) != "")), F.lit(1))["value"]
+    j = j.withColumns({"_text": field_text(F.col("j.content")), "_blocks": html_blocks(F.coalesce("j.content", F.lit("")))}).withColumn("_facts", board_facts(F.col("_blocks")))
+    facts = {f: F.col(f"_facts.{f}") for f in ("responsibilities", "requirements", "experience", "education")}
+    return j.select("source", *base_posting(company=F.col("company"), title=F.col("j.title"), city=F.col("j.location.name"), salary_raw=F.coalesce(pay, pay_excerpt(F.col("_text"))), **facts, published_at=F.col("j.first_published"), raw_text=F.col("_text"), status_validity=F.lit("有效"), source_url=F.col("j.absolute_url")))
 
 
 @reader("postings")
