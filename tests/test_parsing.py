@@ -15,7 +15,7 @@ def test_parse_postings(spark):
     assert (b.company, b.title, b.city, b.salary_raw, b.experience, b.education, b.published_at) == ("深圳某某科技有限公司", "资深算法研究员", "深圳", "30-50K", "5年以上经验", "本科及以上", "2026-09-20")
     assert set(b.uncertain_fields) == {"company", "title", "city", "salary_raw", "experience", "education", "responsibilities", "requirements"}
     assert got[3].title == "" and len(got[3].uncertain_fields) == 9
-    assert (got[4].responsibilities, got[4].requirements, got[4].published_at) == ("lead\nmore", "C++\n发布日期：2026-99-27", "")
+    assert (got[4].responsibilities, got[4].requirements, got[4].published_at) == ("lead\nmore", "C++\n发布日期:2026-99-27", "")
 
 
 def test_draft_profiles(spark):
