@@ -20,8 +20,9 @@ from .common import NO_LETTER, crc_mod, materialize, mix, pieces, table, text_by
 #: Positions of the filter (its size is fixed) and hashes of an n-gram.
 POSITIONS, HASHES = 1 << 20, 4
 GRAM = 3
-#: An n-gram belongs to a language that has it in this share of its n-grams, and this part of the highest share.
-LEAST_SHARE, LEAST_PART = 1e-5, 0.3
+#: A language contains an n-gram that is at least this share of its training n-grams; less is noise, such as words of other languages.
+#: So a language has 1 / LEAST_SHARE n-grams at most, which bounds what the driver builds the filter from.
+LEAST_SHARE = 3e-4
 
 
 def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -127,9 +128,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     counts = rows.where("NOT held_out AND lang IS NOT NULL AND text IS NOT NULL").select("text", "lang").mapInArrow(_count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "gram-counts")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    share = counts.join(F.broadcast(totals), "lang").withColumn("share", F.col("n") / F.col("total")).where(F.col("share") >= LEAST_SHARE)  # one row for each language
-    top = share.groupBy("gram").agg(F.max("share").alias("top"))
-    kept = share.join(top, "gram").where(F.col("share") >= LEAST_PART * F.col("top")).select("lang", "gram", "total").collect()  # 1 / LEAST_SHARE rows a language at most
+    share = F.col("n") / F.col("total")
+    kept = counts.join(F.broadcast(totals), "lang").where(share >= LEAST_SHARE).select("lang", "gram", "total").collect()  # totals: one row for each language
     langs = [lang for lang, _ in sorted({r.lang: r.total for r in kept}.items(), key=lambda x: (-x[1], x[0]))]
     number = {lang: i for i, lang in enumerate(langs)}
     held = spark.sparkContext.broadcast(Filter(langs, [(r.gram, number[r.lang]) for r in kept]))
@@ -137,4 +137,5 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text of documents, learned from two thirds of the rows."""
     return identify(table(spark, sf_dir, "documents"))
