@@ -14,19 +14,24 @@ from .common import ascii_lower, table
 
 #: (action, host, path)
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
-#: Labelled URLs taken for the fit, at most.
-MAX_LABELLED = 100_000
+#: Labelled URLs taken for the fit, at most: those of the smallest hashes. Host suffixes that have a rate of their own, at most: the
+#: most frequent ones of the labelled URLs; all others have the prior.
+MAX_LABELLED, MAX_SUFFIXES = 100_000, 64
 TREES, DEPTH, RATE, BINS, L2 = 24, 3, 0.3, 32, 1.0
 
 #: Host words of the labelled URLs.
-UNWANTED = ["cheap-pills", "casino-win", "adult-x", "spam-farm", "free-loans", "poker-bonus", "hot-dates", "buy-followers", "lucky-slots", "diet-pills24", "crypto-x100", "warez-zone"]
+UNWANTED = ["rx-discount", "prize-draws24", "late-night-cams", "mail-blast", "free-loans", "poker-bonus", "hot-dates", "buy-followers", "lucky-slots", "diet-pills24", "crypto-x100", "warez-zone"]
 WANTED = ["library", "weather", "gardening", "university", "cityhall", "museum", "physics", "railways", "bakery", "folkmusic", "hospital", "newsroom"]
 
 
+#: Shapes of URLs that both kinds have, and of each kind alone: deep paths, numbers and many parameters against plain pages.
+SHAPES = [("https://www.{}.example.{}/en/{}", 1), ("http://{}.example.{}/de/{}.html", 2), ("https://blog.{}.example.{}/fr/{}?page=2&ref=x", 3), ("http://m.{}.example.{}/es/{}#top", 5), ("https://{}.example.{}/en/{}/?utm_source=feed", 7)]
+OWN_SHAPES = {1: [("http://{}.example.{}/go/win/{}/claim/now?aff=77&sid=3&r=9", 11), ("http://x9.{}.example.{}/o/88/{}/7741/click?k=1&u=2", 13)], 0: [("https://{}.example.{}/about", 1), ("https://www.{}.example.{}/opening-hours/{}", 1)]}
+
+
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """(url, label) by rule: each host word with and without prefixes, under several suffixes and paths; 1 is unwanted."""
-    shapes = [("https://www.{}.example.{}/en/{}", 1), ("http://{}.example.{}/de/{}.html", 2), ("https://blog.{}.example.{}/fr/{}?page=2&ref=x", 3), ("http://m.{}.example.{}/es/{}#top", 5), ("https://{}.example.{}/en/{}/?utm_source=feed", 7)]
-    rows = [(shape.format(word, suffix, (i * step * 37) % 1000), label) for label, group in ((1, UNWANTED), (0, WANTED)) for i, word in enumerate(group) for shape, step in shapes for suffix in ("com", "net", "org")]
+    """(url, label) by rule: each host word under several suffixes in all shapes of its kind; 1 is unwanted."""
+    rows = [(shape.format(word, suffix, (i * step * 37) % 1000), label) for label, group in ((1, UNWANTED), (0, WANTED)) for i, word in enumerate(group) for shape, step in [*SHAPES, *OWN_SHAPES[label]] for suffix in ("com", "net", "org")]
     return spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(u).alias("url"), F.lit(y).alias("label")) for u, y in rows])).alias("x")).select("x.*")
 
 
@@ -120,8 +125,8 @@ def filter_urls(urls: DataFrame, labelled: DataFrame, id_col: str = "page_id", u
     columns are ignored; empty tables give empty results. Without labelled URLs the score is 0.5 for
     all, and what no rule fits is allowed. labelled: (url, label 0 or 1), MAX_LABELLED rows at most."""
     shaped = lambda df: df.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    known = shaped(labelled.where("label IS NOT NULL").limit(MAX_LABELLED))
-    rates = known.groupBy(suffix_of(F.col("host")).alias("suffix")).agg(F.count("*").alias("n"), F.sum("label").alias("bad")).orderBy(F.desc("n"), "suffix").limit(64).collect()
+    known = shaped(labelled.where("label IS NOT NULL").orderBy(F.xxhash64("url"), "url", "label").limit(MAX_LABELLED))
+    rates = known.groupBy(suffix_of(F.col("host")).alias("suffix")).agg(F.count("*").alias("n"), F.sum("label").alias("bad")).orderBy(F.desc("n"), "suffix").limit(MAX_SUFFIXES).collect()
     total = sum(r.n for r in rates)
     prior = (sum(r.bad for r in rates) + 1) / (total + 2)
     by_suffix = {r.suffix: (r.bad + 4 * prior) / (r.n + 4) for r in rates}
@@ -140,4 +145,5 @@ def filter_urls(urls: DataFrame, labelled: DataFrame, id_col: str = "page_id", u
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule and verdict of every url of pages; where no rule fits, the trees fitted on labelled_urls judge."""
     return filter_urls(table(spark, sf_dir, "pages"), labelled_urls(spark))

@@ -288,3 +288,12 @@ def test_label_model_prefers_accurate_voters():
     assert ((post > 0.5) == truth).mean() > 0.97
     gap = rates[:, 1] - rates[:, 0]
     assert gap[0] > gap[2] > gap[3] - 0.1
+
+
+@pytest.mark.parametrize("fold", range(3))
+def test_url_verdicts_of_held_out_hosts(spark, fold):
+    word = F.regexp_extract("url", r"([a-z0-9-]+)\.example", 1)
+    held = F.crc32(word.cast("binary")) % 3 == fold
+    labelled = url_filter.labelled_urls(spark)
+    judged = url_filter.filter_urls(labelled.where(held).withColumn("page_id", F.col("label")), labelled.where(~held), rules=[])
+    assert {(r.page_id, r.verdict) for r in judged.select("page_id", "verdict").distinct().collect()} == {(0, "allow"), (1, "block")}
