@@ -157,11 +157,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs without the rows whose text overlaps a benchmark item."""
+    """docs without the rows whose text overlaps a benchmark item.
+
+    Null and empty texts overlap nothing and stay, as do all rows if the benchmark is empty. Rows that repeat an id are judged by their own
+    texts; rows with a null id too. How often or how well a text overlaps makes no difference."""
     found = contaminated(docs, benchmark, id_col, text_col, **how)
     gone = found.select(F.col("doc_id").alias("drop_id"), "th")
     return without(docs, gone, id_col, text_hash(text_col), "th")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents and benchmark items that overlap, with the best overlap of each."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("th")

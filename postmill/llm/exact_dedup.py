@@ -152,6 +152,7 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each row of documents which of the rows with an equal text stays."""
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 

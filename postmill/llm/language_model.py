@@ -397,7 +397,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     Tokens are the words with A-Z lower-cased and one end; a null text is empty. Training texts are those
     whose crc32 of the id isn't 2 modulo 7. score is the log10 probability of the text's tokens, the end
     included; an unseen word has the share that add-one leaves in its tail class. Words are told apart by
-    64 bits. Rows may repeat and ids may be null; other columns are ignored. Without training texts all
+    58 bits. Rows may repeat and ids may be null; other columns are ignored. Without training texts all
     counts are 0; an empty table gives an empty result."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("held_out", crc_mod("id", 7) == 2)
@@ -427,4 +427,5 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model score of every text of documents, learned from those that aren't held out."""
     return lm_scores(table(spark, sf_dir, "documents"))

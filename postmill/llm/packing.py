@@ -108,4 +108,5 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts of documents cut and packed into sequences of at most 1024 tokens: one row a piece."""
     return pack_documents(table(spark, sf_dir, "documents"))

@@ -309,11 +309,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs with one row of each group of similar texts: that with the smallest id.
 
-    A row without an id goes if its group has an id, and stays otherwise."""
+    A row without an id goes if its group has an id, and stays otherwise. Texts without words, null ones included, are similar to nothing and
+    stay; rows that repeat the smallest id with the same text all stay (exact dedup takes them out). An empty table stays empty."""
     report = similar_groups(docs, id_col, text_col, **how)
     gone = report.where("component_id IS NOT NULL AND NOT doc_id <=> component_id").select(F.col("doc_id").alias("drop_id"), "text_hash")
     return without(docs, gone, id_col, text_hash(text_col), "text_hash")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every text of documents, links being three differing bits or fewer."""
     return simhash_dedup(table(spark, sf_dir, "documents"))

@@ -231,6 +231,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts of documents as token files, and what is read back from them for each document."""
     path = f"{shared_dir(spark)}/postmill/token-files-{uuid.uuid4().hex}"
     write_token_files(table(spark, sf_dir, "documents"), path)
     return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -188,7 +188,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that score 0.5 or more; all columns pass through one scan."""
+    """docs without the rows that score 0.5 or more; all columns pass through one scan.
+
+    A null text counts as empty. Rows are judged one by one by their texts, so repeated ones fare alike, whatever their ids; a score of
+    just 0.5 goes. Labels of null ids, or of ids that docs doesn't have, teach nothing. An empty table stays empty."""
     plain = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     lexicon, strong, beta = fit(plain, labels.select(F.col(id_col).cast("bigint").alias("id"), F.col("toxic")))
 
@@ -205,4 +208,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How likely each text of documents is toxic, learned from the labels of rows that aren't held out."""
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("th")
