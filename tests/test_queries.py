@@ -6,7 +6,7 @@ from pathlib import Path
 
 import pytest
 
-from postmill.plans import imports, queries, records, reports, states  # noqa: F401
+from postmill.plans import facts, imports, queries, records, reports, states  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations".split()
