@@ -175,6 +175,8 @@ BANDS, BAND_ROWS = 24, 5
 BAND_BUCKET = 32
 #: Texts of a large bucket, outside its largest group, that a round compares with all of it.
 CENTRES = 8
+#: Bits of a text's sketch: bit i tells whether an odd number of its different shingles falls on i.
+SKETCH = 1024
 _MULTIPLIERS = mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -191,25 +193,34 @@ def _shingles(piece: pa.RecordBatch, shingle: int):
     return roll.of(first, first + np.repeat(np.minimum(n, shingle), count)), cuts, roll.of(at[:-1], at[1:])
 
 
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """The sketch of each set of different hashes, SKETCH / 64 int64 a row.
+
+    Two sketches differ in no more bits than the sets have elements that only one of them holds."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    bits = (mix(np.concatenate([*sets, np.zeros(0, np.uint64)])) >> np.uint64(40)).astype(np.int64) % SKETCH
+    odd = (np.bincount(owner * SKETCH + bits, minlength=len(sets) * SKETCH) & 1).astype(np.uint8).reshape(len(sets), SKETCH)
+    return np.packbits(odd, axis=1).view(np.int64)
+
+
 def _sign(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch):
                 hashes, cuts, node = _shingles(piece, shingle)
                 full = np.flatnonzero(np.diff(cuts))
-                keys, signs = np.zeros((len(full), BANDS), np.uint64), np.zeros((len(node), 4), np.uint64)
+                keys = np.zeros((len(full), BANDS), np.uint64)
                 for band in range(BANDS if len(full) else 0):
                     for row in range(BAND_ROWS):
                         low = np.minimum.reduceat(hashes * _MULTIPLIERS[band * BAND_ROWS + row], cuts[:-1][full])
                         keys[:, band] = mix(keys[:, band] + low)
-                        at = band * BAND_ROWS + row
-                        signs[full, at // 32] |= (mix(low) >> np.uint64(62)) << np.uint64(2 * (at % 32))
                 bands: list = [[] for _ in node]
                 for r, k in zip(full.tolist(), keys.view(np.int64).tolist(), strict=True):
                     bands[r] = k
                 prints = majority_bits(hashes, cuts)
-                cols = [piece.column("id"), piece.column("th"), pa.array(node.view(np.int64)), pa.array(prints.view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(signs.view(np.int64).tolist(), pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, ["id", "th", "node", "fp", "bands", "signs"])
+                sets = [np.unique(hashes[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                cols = [piece.column("id"), piece.column("th"), pa.array(node.view(np.int64)), pa.array(prints.view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array([len(x) for x in sets], pa.int64()), pa.array(list(sketches(sets)), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, ["id", "th", "node", "fp", "bands", "held", "sketch"])
 
     return run
 
@@ -237,29 +248,37 @@ def _verified(rows: DataFrame, texts: DataFrame, pairs: DataFrame, shingle: int,
     return materialize(both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "near-links")
 
 
-def _placed(many: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
-    """The members of buckets with their groups and that of most of the bucket; how many are outside that."""
-    placed = materialize(many.join(roots, "node", "left").select("band", "key", "node", "signs", F.coalesce("root", "node").alias("root")), "members")
-    sizes = placed.groupBy("band", "key", "root").agg(F.count("*").alias("n")).groupBy("band", "key").agg(F.max(F.struct("n", "root")).alias("x"))
-    placed = materialize(placed.join(materialize(sizes.select("band", "key", F.col("x.root").alias("home")), "homes"), ["band", "key"]), "placed")
-    return placed, placed.where("root <> home").count()
+def _close(similarity: float) -> str:
+    """That the sketches of two texts, (ha, sa) and (held, sketch), allow that Jaccard similarity.
 
+    At it, the elements that only one of the sets holds are (1 - s) / (1 + s) of both sizes together at most, and
+    the sketches show no more of them than there are: no pair that has the similarity is ever passed over."""
+    differ = " + ".join(f"bit_count(sa[{i}] ^ sketch[{i}])" for i in range(SKETCH // 64))
+    return f"least(ha, held) >= {similarity} * greatest(ha, held) - 1e-6 AND ({differ}) * {1 + similarity} <= (ha + held) * {1 - similarity} + 1e-6"
 
-def _across(some: DataFrame, placed: DataFrame, budget: int) -> DataFrame:
-    """Pairs (a, b) of some members and all of their buckets outside their groups, with at most `budget` signs that differ."""
-    some = some.select("band", "key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("signs").alias("sa"))
-    both = some.join(placed.select("band", "key", F.col("node").alias("b"), "root", "signs"), ["band", "key"])
-    differ = " + ".join(f"bit_count(((sa[{i}] ^ signs[{i}]) | shiftrightunsigned(sa[{i}] ^ signs[{i}], 1)) & {0x5555555555555555}L)" for i in range(4))
-    return both.where(f"ra <> root AND {differ} <= {budget}").select("a", "b")
 
+def _allowed(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes, once each, whose sketches allow the similarity."""
+    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    first = texts.select(F.col("node").alias("a"), F.col("held").alias("ha"), F.col("sketch").alias("sa"))
+    other = texts.select(F.col("node").alias("b"), "held", "sketch")
+    return pairs.join(first, "a").join(other, "b").where(_close(similarity)).select("a", "b")
+
+
+def _placed(many: DataFrame, roots: DataFrame, texts: DataFrame) -> tuple[DataFrame, int]:
+    """The members of buckets with their sketches, their groups and that of most of the bucket; how many are outside that."""
+    known = texts.select("node", "held", "sketch")
+    placed = materialize(many.join(roots, "node", "left").join(known, "node").select("band", "key", "node", "held", "sketch", F.coalesce("root", "node").alias("root")), "members")
+    sizes = placed.groupBy("band", "key", "root").agg(F.count("*").alias("n")).groupBy("band", "key").agg(F.max(F.struct("n", "root")).alias("x"))
+    placed = materialize(placed.join(materialize(sizes.select("band", "key", F.col("x.root").alias("home")), "homes"), ["band", "key"]), "placed")
+    return placed, placed.where("root <> home").count()
 
-def sign_budget(similarity: float) -> int:
-    """Of the BANDS * BAND_ROWS two-bit signs of min-hashes, how many may differ in a pair that is still compared.
 
-    Each differs with probability 0.75 * (1 - similarity); five deviations above the mean, so that a pair at
-    that similarity is passed over with a probability of a few in a million."""
-    n, p = BANDS * BAND_ROWS, 0.75 * (1 - similarity)
-    return int(np.ceil(n * p + 5 * (n * p * (1 - p)) ** 0.5))
+def _across(some: DataFrame, placed: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of some members and all of their buckets outside their groups, whose sketches allow the similarity."""
+    some = some.select("band", "key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("held").alias("ha"), F.col("sketch").alias("sa"))
+    both = some.join(placed.select("band", "key", F.col("node").alias("b"), "root", "held", "sketch"), ["band", "key"])
+    return both.where(f"ra <> root AND {_close(similarity)}").select("a", "b")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -267,37 +286,38 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     64 SimHash bits can't tell 0.8 from less: such pairs differ in up to 19 bits, more than any pigeonring
     key bears. So fingerprints within three bits are candidates, and texts that share a band of min-hashes
-    of the same shingles too; the shingle sets of each candidate pair are then compared. Texts with the
+    of the same shingles too; sketches, which never pass over a pair that is similar, leave few candidate pairs, whose
+    shingle sets are then compared. Texts with the
     same words are one node. In each bucket every text is compared with the smallest; in a large one, as long as that
     halves the texts outside the bucket's largest group, a few of those are compared with all of the bucket; then all
     that are left outside, with all of the bucket outside their own group. So no link between groups is lost and a
-    group of near copies isn't expanded into its pairs. A text without
-    words is linked to nothing else. component_id is the smallest id of the group (null ids don't count)."""
+    group of near copies isn't expanded into its pairs. Texts without
+    words, null ones included, are one node, linked to nothing else. component_id is the smallest id of the group (null ids don't count)."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("th", text_hash("text"))
-    each = materialize(rows.mapInArrow(_sign(shingle), "id bigint, th bigint, node bigint, fp bigint, bands array<bigint>, signs array<bigint>"), "signatures")
-    texts = materialize(each.groupBy("node").agg(F.min(F.struct("id", "th")).alias("one"), F.min("id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("signs").alias("signs")), "signature-nodes")
+    each = materialize(rows.mapInArrow(_sign(shingle), "id bigint, th bigint, node bigint, fp bigint, bands array<bigint>, held bigint, sketch array<bigint>"), "signatures")
+    texts = materialize(each.groupBy("node").agg(F.min(F.struct("id", "th")).alias("one"), F.min("id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("held").alias("held"), F.first("sketch").alias("sketch")), "signature-nodes")
     some = texts.where(F.size("bands") > 0)
     centre = materialize(some.groupBy("fp").agg(F.min("node").alias("node")), "fingerprint-nodes")
     stars = some.join(centre.withColumnRenamed("node", "c"), "fp").select(F.col("node").alias("a"), F.col("c").alias("b"))
-    keyed = some.select("node", "signs", F.posexplode("bands").alias("band", "key"))
+    keyed = some.select("node", F.posexplode("bands").alias("band", "key"))
     sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("c")).where("n > 1")
     shared = materialize(keyed.join(materialize(sizes, "band-sizes"), ["band", "key"]), "band-buckets")
-    good = _verified(rows, texts, stars.union(shared.select(F.col("node").alias("a"), F.col("c").alias("b"))), shingle, similarity)
+    first = stars.union(shared.select(F.col("node").alias("a"), F.col("c").alias("b")))
+    good = _verified(rows, texts, _allowed(first, texts, similarity), shingle, similarity)
     roots = components(good, "a", "b")
-    budget = sign_budget(similarity)
     large, before, outside = shared.where(f"n > {BAND_BUCKET}"), None, 0
     if not large.isEmpty():
-        placed, outside = _placed(large, roots)
+        placed, outside = _placed(large, roots, texts)
     while outside and (before is None or outside < before / 2):  # while some texts of each bucket draw most others in
-        some = placed.where("root <> home").groupBy("band", "key", F.pmod(F.hash("node"), F.lit(CENTRES)).alias("i")).agg(F.min(F.struct("node", "root", "signs")).alias("x"))
-        good = good.union(_verified(rows, texts, _across(some.select("band", "key", "x.node", "x.root", "x.signs"), placed, budget), shingle, similarity))
+        some = placed.where("root <> home").groupBy("band", "key", F.pmod(F.hash("node"), F.lit(CENTRES)).alias("i")).agg(F.min(F.struct("node", "root", "held", "sketch")).alias("x"))
+        good = good.union(_verified(rows, texts, _across(some.select("band", "key", "x.*"), placed, similarity), shingle, similarity))
         roots = components(good, "a", "b")
-        before, (placed, outside) = outside, _placed(large, roots)
-    placed, _ = _placed(shared.where("n > 2"), roots)
+        before, (placed, outside) = outside, _placed(large, roots, texts)
+    placed, _ = _placed(shared.where("n > 2"), roots, texts)
     prints = materialize(centre.join(roots, "node", "left").select("fp", "node", F.coalesce("root", "node").alias("root")), "fingerprint-roots")
     links = fingerprint_links(prints.select("fp", "root"))
     near = links.join(prints.select("fp", F.col("node").alias("a")), "fp").join(prints.select(F.col("fp").alias("gp"), F.col("node").alias("b")), "gp").select("a", "b")
-    left = _across(placed.where("root <> home"), placed, budget).union(near)
+    left = _across(placed.where("root <> home"), placed, similarity).union(_allowed(near, texts, similarity))
     good = good.union(_verified(rows, texts, left, shingle, similarity))
     roots = components(good, "a", "b")
     rooted = materialize(texts.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "rooted")
@@ -309,8 +329,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs with one row of each group of similar texts: that with the smallest id.
 
-    A row without an id goes if its group has an id, and stays otherwise. Texts without words, null ones included, are similar to nothing and
-    stay; rows that repeat the smallest id with the same text all stay (exact dedup takes them out). An empty table stays empty."""
+    A row without an id goes if its group has an id, and stays otherwise. Texts without words, null ones included, are one
+    group and similar to nothing else; rows that repeat the smallest id with the same text all stay (exact dedup takes them out). An empty table stays empty."""
     report = similar_groups(docs, id_col, text_col, **how)
     gone = report.where("component_id IS NOT NULL AND NOT doc_id <=> component_id").select(F.col("doc_id").alias("drop_id"), "text_hash")
     return without(docs, gone, id_col, text_hash(text_col), "text_hash")

@@ -200,3 +200,36 @@ def test_similar_groups_against_brute_force(docs, monkeypatch, bucket):
     assert got == {d: min(x for (x, _), r in zip(rows, label, strict=True) if r == root) for (d, _), root in zip(rows, label, strict=True)}
     assert simhash.drop_near_duplicates(docs(rows)).count() == len(set(label))
     assert simhash.similar_groups(docs([])).count() == 0
+
+
+def test_sketches_never_pass_over_a_similar_pair():
+    rng = np.random.default_rng(5)
+    for size in (0, 1, 4, 9, 100, 1500, 20_000):
+        for share in (1.0, 0.9, 0.8, 0.6):
+            common = rng.integers(0, 1 << 63, int(size * share), dtype=np.uint64)
+            a, b = (np.unique(np.concatenate([common, rng.integers(0, 1 << 63, n, dtype=np.uint64)])) for n in (size - len(common), 0))
+            x, y = simhash.sketches([a, b]).view(np.uint64)
+            differ, apart = int(np.bitwise_count(x ^ y).sum()), len(np.setxor1d(a, b))
+            assert differ <= apart and differ % 2 == apart % 2
+    assert simhash.sketches([]).shape == (0, simhash.SKETCH // 64)
+
+
+def test_families_of_changed_copies_group_as_brute_force_does(spark):
+    """More texts than a bucket holds, all changed copies of one, at similarities on both sides of the bound."""
+    rng = np.random.default_rng(6)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(0, " ".join(base)), (1, None), (2, ""), (3, "a b c d e")]
+    for i in range(4, 160):
+        words = list(base)
+        for at in rng.choice(120, int(rng.integers(0, 9)), replace=False):
+            words[at] = f"x{rng.integers(0, 40)}"
+        rows.append((i, " ".join(words)))
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, t in rows for w in [(t or "").split()]}
+    group = {d: d for d, _ in rows}
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                low, high = sorted((group[a], group[b]))
+                group = {d: low if g == high else g for d, g in group.items()}
+    assert got == group
