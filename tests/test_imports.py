@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from postmill.operators import discovery, imports
 from postmill.operators.matching import FACTS
+from postmill.plans import imports as plans
 from postmill.sources import paged
 from postmill.streaming.entities import ROW, Entities
 from postmill.streaming.publication import Publication
@@ -31,6 +32,21 @@ def test_a_source_beyond_its_cap_fails(spark, pages):
         paged.read_pages(spark, "parquet", limit=10, pages=2, path=pages(20), columns="id").collect()
 
 
+@pytest.mark.parametrize("n", [0, 10, 25, 305])
+def test_without_a_cap_all_pages_are_read(spark, pages, n):
+    got = paged.read_pages(spark, "parquet", limit=10, pages=None, path=pages(n), columns="id").collect()
+    assert sorted((r.skip + r.pos, r.payload) for r in got) == [(i, f'{{"id": {i}}}') for i in range(n)]
+
+
+def test_query_beyond_twenty_pages(spark, tmp_path):
+    n = 20 * plans.PAGE + 1
+    # many row groups in more than one file
+    rows = spark.range(0, n, 1, 3).selectExpr("id AS page_id", "concat('https://h/', id) AS url", "'' AS html")
+    rows.write.option("parquet.block.size", 65536).option("parquet.page.size", 4096).parquet(f"{tmp_path}/pages.parquet")
+    got = plans.q83_paged_source(spark, str(tmp_path))
+    assert got.count() == n and got.where(f"skip <> page_id - page_id % {plans.PAGE} OR url <> concat('https://h/', page_id)").isEmpty()
+
+
 PART = "import bigint, pos bigint, kind string, name string, size bigint, text string, error string"
 
 
